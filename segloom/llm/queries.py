@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segloom.llm import collapse, corpus_encode, grouped_splits, packing, token_budget, visual_form
+from segloom.llm import collapse, corpus_encode, grouped_splits, mojibake, overlap, packing, token_budget, visual_form
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -31,8 +31,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_report": lambda s, d: grouped_splits.split_report(read(s, d, "segments"), _shares(s, d)),
         "p3_budget": lambda s, d: token_budget.token_budget(read(s, d, "segments")),
         "p3_texts": lambda s, d: token_budget.text_tokens(read(s, d, "segments")),
+        "p4_found": lambda s, d: mojibake.garbled_fields(read(s, d, "segments")),
+        "p4_restored": lambda s, d: mojibake.restored_fields(read(s, d, "segments")),
         "p6_found": lambda s, d: collapse.copies(read(s, d, "da_lines")),
         "p6_records": lambda s, d: collapse.distinct_records(read(s, d, "da_lines")),
+        "p7_found": lambda s, d: overlap.split_overlaps(read(s, d, "split_examples")),
+        "p7_rows": lambda s, d: overlap.overlap_rows(read(s, d, "split_examples")),
+        "p7_report": lambda s, d: overlap.overlap_report(read(s, d, "split_examples")),
         "p8_ids": lambda s, d: corpus_encode.encode_corpus(read(s, d, "documents")),
         "p9_containers": lambda s, d: packing.fill_containers(read(s, d, "documents"), _capacities(s, d)),
         "p10_found": lambda s, d: visual_form.look_alike_pairs(read(s, d, "documents")),
