@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segloom.llm import collapse, corpus_encode, grouped_splits, mojibake, overlap, packing, token_budget, visual_form
+from segloom.llm import collapse, corpus_encode, grouped_splits, langid, mojibake, overlap, packing, token_budget, visual_form
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,6 +33,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_texts": lambda s, d: token_budget.text_tokens(read(s, d, "segments")),
         "p4_found": lambda s, d: mojibake.garbled_fields(read(s, d, "segments")),
         "p4_restored": lambda s, d: mojibake.restored_fields(read(s, d, "segments")),
+        "p5_found": lambda s, d: langid.wrong_labels(read(s, d, "segments")),
+        "p5_stretches": lambda s, d: langid.text_languages(read(s, d, "segments")),
         "p6_found": lambda s, d: collapse.copies(read(s, d, "da_lines")),
         "p6_records": lambda s, d: collapse.distinct_records(read(s, d, "da_lines")),
         "p7_found": lambda s, d: overlap.split_overlaps(read(s, d, "split_examples")),
