@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from segloom.llm import collapse, corpus_encode, grouped_splits, langid, mojibake, overlap, packing, token_budget, visual_form
+from segloom.llm import collapse, corpus_encode, grouped_splits, langid, mojibake, overlap, packing, token_budget, truncation_model, visual_form
 
 
 def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -29,6 +29,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": lambda s, d: grouped_splits.related_rows(read(s, d, "segments")),
         "p1_splits": lambda s, d: grouped_splits.assign_splits(read(s, d, "segments"), _shares(s, d)),
         "p1_report": lambda s, d: grouped_splits.split_report(read(s, d, "segments"), _shares(s, d)),
+        "p2_found": lambda s, d: truncation_model.cut_fields(read(s, d, "segments")),
+        "p2_report": lambda s, d: truncation_model.cut_report(read(s, d, "segments")),
         "p3_budget": lambda s, d: token_budget.token_budget(read(s, d, "segments")),
         "p3_texts": lambda s, d: token_budget.text_tokens(read(s, d, "segments")),
         "p4_found": lambda s, d: mojibake.garbled_fields(read(s, d, "segments")),
