@@ -211,16 +211,14 @@ def length_limits(texts: DataFrame) -> DataFrame:
     sizes = texts.select("origin", "field", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("b").alias("unit"), F.octet_length("text").alias("size")))).alias("x")).select("origin", "field", "x.unit", "x.size")
     counts = sizes.groupBy("origin", "field", "unit", "size").agg(F.count("*").alias("n"))
     counts = table(counts, "lengths")
-    total = counts.where("unit = 'c'").groupBy("origin", "field").agg(F.sum("n").alias("total"))
-    # each length adds to its neighbours' surroundings; at most a few rows for each length
-    near = counts.select("origin", "field", "unit", F.explode(F.sequence(F.col("size") - SPIKE_WINDOW, F.col("size") + SPIKE_WINDOW)).alias("size"), F.col("size").alias("of"), "n").where(F.abs(F.col("size") - F.col("of")) > SHORT_BY)
-    around = near.groupBy("origin", "field", "unit", "size").agg((F.sum("n") / (2 * (SPIKE_WINDOW - SHORT_BY))).alias("usual"))
-    key = ["origin", "field"]
-    null_safe = lambda a, b, cols: [a[c].eqNullSafe(b[c]) for c in cols]
-    marked = counts.join(around, null_safe(counts, around, [*key, "unit", "size"]), "left").select(*[counts[c] for c in (*key, "unit", "size", "n")], F.coalesce("usual", F.lit(0.0)).alias("usual"))
-    marked = marked.join(total, null_safe(marked, total, key)).select(*[marked[c] for c in (*key, "unit", "size", "n", "usual")], "total")
+    total = counts.where("unit = 'c'").groupBy(F.col("origin").alias("o"), F.col("field").alias("f")).agg(F.sum("n").alias("total"))
+    # each length counts for itself and for the surroundings of its neighbours
+    reach = F.explode(F.sequence(F.lit(-SPIKE_WINDOW), F.lit(SPIKE_WINDOW))).alias("by")
+    near = counts.select("origin", "field", "unit", "size", "n", reach).where((F.col("by") == 0) | (F.abs("by") > SHORT_BY))
+    near = near.groupBy("origin", "field", "unit", (F.col("size") + F.col("by")).alias("size")).agg(F.sum(F.when(F.col("by") == 0, F.col("n"))).alias("n"), (F.coalesce(F.sum(F.when(F.col("by") != 0, F.col("n"))), F.lit(0)) / (2 * (SPIKE_WINDOW - SHORT_BY))).alias("usual"))
+    marked = near.where("n is not null").join(total, F.col("origin").eqNullSafe(F.col("o")) & (F.col("field") == F.col("f"))).drop("o", "f")
     spikes = marked.where((F.col("n") >= SPIKE * F.col("usual")) & (F.col("n") >= SPIKE_LEAST) & (F.col("n") >= SPIKE_SHARE * F.col("total")) & (F.col("size") >= SHORTEST_LIMIT))
-    return spikes.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("unit", "size"))).alias("limits"))
+    return spikes.groupBy("origin", "field").agg(F.sort_array(F.collect_list(F.struct("unit", "size"))).alias("limits"))
 
 
 def _texts(df: DataFrame, id_col: str) -> DataFrame:
