@@ -66,10 +66,14 @@ _RRWA = f"""rrwa as (
   union all select seg_id, 0 from score_samples group by seg_id having count(score) = 0)"""
 _LENGTH = "case when greatest(length(src), length(tgt)) = 0 then 0 else floor(100.0::double * least(length(src), length(tgt)) / greatest(length(src), length(tgt)))::int end"
 _OBJECT = "regexp_replace(raw, '^\\s+|\\s+$', '', 'g')"
+# of repeated keys the last one counts; NaN and Infinity are no JSON
+_LAST = ", ".join(
+    f"(select json_extract_string(arg_max(value, id), '$') from json_each(case when kind = 'ok' then line else '{{}}' end) where key = '{c}') as {'score_text' if c == 'score' else c}"
+    for c in ("src_lang", "tgt_lang", "src", "tgt", "score")
+)
 _LINES = f"""lines as (select *, {_OBJECT} as line from da_lines),
-kinds as (select *, case when line is null or line = '' then 'blank' when not starts_with(line, '{{') then 'no object' when {{valid}} then 'ok' else 'broken' end as kind from lines),
-typed as (
-  select *, case when kind = 'ok' then json_extract_string(line, '$.score') end as score_text from kinds),
+kinds as (select *, case when line is null or line = '' then 'blank' when not starts_with(line, '{{') then 'no object' when json_valid(line) and not regexp_matches(line, ':\\s*-?(NaN|Infinity|inf)\\s*[,}}]') then 'ok' else 'broken' end as kind from lines),
+typed as (select *, {_LAST} from kinds),
 parsed as (
   select *, case when score_text = 'true' then 1.0::double when score_text = 'false' then 0.0::double
     when regexp_full_match(trim(score_text), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') then try_cast(trim(score_text) as double) end as score from typed)"""
@@ -114,8 +118,6 @@ def oracle_sql() -> dict[str, str]:
     samples = f"samples as (select seg_id, i, {_score('s', 'i::varchar')}::double as s from seg, range(10) r(i))"
     out["score_mr7mean"] = f"{_HEAD}, {samples} select seg_id, floor(avg(s))::int as score from samples group by seg_id"
     out["score_mr7rrwa"] = f"{_HEAD}, {samples} select seg_id, round_even(sum(s / rn) / sum(1.0::double / rn), 0)::int as score from (select *, row_number() over (partition by seg_id order by s desc) as rn from samples) group by seg_id"
-    lines = _LINES.replace("{valid}", "json_valid(line)").replace("{{", "{")
-    out["scan_jsonl"] = f"with {lines} select file_name, kind, count(*) as n_lines, count(score) as n_scores from parsed group by all"
-    fields = ", ".join(f"json_extract_string(line, '$.{c}') as {c}" for c in ("src_lang", "tgt_lang", "src", "tgt"))
-    out["scan_da"] = f"with {_LUT}, {lines}, recs as (select line_id, {fields}, score from parsed where kind = 'ok' and score is not null) select * from {_named('recs')} where src is not null and tgt is not null"
+    out["scan_jsonl"] = f"with {_LINES} select file_name, kind, count(*) as n_lines, count(score) as n_scores from parsed group by all"
+    out["scan_da"] = f"with {_LUT}, {_LINES}, recs as (select line_id, src_lang, tgt_lang, src, tgt, score from parsed where kind = 'ok' and score is not null) select * from {_named('recs')} where src is not null and tgt is not null"
     return out

@@ -34,7 +34,7 @@ def parse_lines(lines: DataFrame, raw_col: str = "raw", schema: T.StructType = L
     """
     line = F.trim(F.regexp_replace(F.col(raw_col), r"^\s+|\s+$", ""))
     typed = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    parsed = F.from_json(line, typed, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"})
+    parsed = F.from_json(line, typed, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE", "allowSingleQuotes": "false"})
     out = lines.withColumn("_line", line).withColumn("_json", parsed)
     whole = F.col("_line").startswith("{") & F.col("_line").endswith("}") & F.col("_json._bad").isNull() & F.get_json_object("_line", "$").isNotNull()
     kind = F.when(F.col(raw_col).isNull() | (F.col("_line") == ""), "blank").when(~F.col("_line").startswith("{"), "no object").when(whole, "ok").otherwise("broken")
