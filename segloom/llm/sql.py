@@ -1,3 +1,50 @@
-"""SQL of the training-data queries that DuckDB can express."""
+"""SQL of the training-data queries that DuckDB can express.
 
-SQL: dict[str, str] = {}
+The others are tokenizers, models, automata and code-point tables; their tests hold them
+against brute force, round trips or held-out accuracy.
+"""
+
+from segloom.functions.langs import spellings
+
+_LUT = "lut(k, code) as (values " + ", ".join(f"('{k}', '{v[0]}')" for k, v in sorted(spellings().items())) + ")"
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_LABEL = f"lower({_STRIP.format('src_lang')})"
+
+_P1 = f"""with recursive {_LUT},
+labelled as (select *, {_LABEL} as label, {_STRIP.format('src')} as text from segments),
+keyed as (
+  select seg_id, doc_key, case when code is not null and text <> '' then code || chr(31) || text end as fp
+  from labelled left join lut on k = case when regexp_full_match(label, '[a-z]{{2,3}}[-_][a-z0-9]{{2,8}}') then regexp_extract(label, '^([a-z]{{2,3}})', 1) else label end),
+texts as (select fp, min(doc_key) as d0 from keyed where fp is not null group by fp),
+star as (select distinct doc_key as u, d0 as v from keyed join texts using (fp) where doc_key is not null),
+edges as (select u, v from star union select v, u from star),
+reach(u, v) as (select distinct doc_key, doc_key from keyed where doc_key is not null union select r.u, e.v from reach r join edges e on r.v = e.u),
+roots as (select u, min(v) as root from reach group by u),
+placed as (
+  select seg_id, coalesce(a.root, b.root) as group_doc, coalesce('d' || coalesce(a.root, b.root), 's' || keyed.fp, 'r' || seg_id) as g
+  from keyed left join texts using (fp) left join roots a on a.u = doc_key left join roots b on b.u = d0 and doc_key is null)
+select seg_id, group_doc from (select *, count(*) over (partition by g) as n from placed) where n > 1"""
+
+_FIELD = "(select json_extract_string(arg_max(value, id), '$') from json_each(case when ok then line else '{{}}' end) where key = '{0}') as {0}"
+_FOLD = r"regexp_replace(replace(lower({}), 'ß', 'ss'), '[\s\p{{P}}\p{{Z}}\p{{Cc}}\p{{Cf}}$+<=>^`|~]', '', 'g')"
+_P6 = (
+    f"""with lines as (select line_id, {_STRIP.format('raw')} as line from da_lines where raw is not null),
+marked as (select *, starts_with(line, '{{') and json_valid(line) as ok from lines),
+fields as (select line_id, """
+    + ", ".join(_FIELD.format(c) for c in ("src_lang", "tgt_lang", "src", "tgt"))
+    + """, (select arg_max(value, id)::varchar from json_each(case when ok then line else '{}' end) where key = 'score') as raw_score from marked),
+numbers as (select *, trim(raw_score, '"') as plain from fields),
+records as (
+  select * replace (src_lang as src_lang), try_cast(trim(plain) as double) as score from numbers
+  where src is not null and tgt is not null and regexp_full_match(trim(plain), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') and isfinite(try_cast(trim(plain) as double))),
+canon as (select *, row("""
+    + ", ".join(f"coalesce('v' || {_FOLD.format(c)}, 'n')" for c in ("src_lang", "tgt_lang", "src", "tgt"))
+    + """, score) as c from records),
+firsts as (select *, min(line_id) over (partition by c) as first_id, count(*) over (partition by c) as n_copies from canon)"""
+)
+
+SQL: dict[str, str] = {
+    "p1_found": _P1,
+    "p6_found": f"{_P6} select first_id, line_id as copy_id from firsts where line_id <> first_id",
+    "p6_records": f"{_P6} select first_id, n_copies, src_lang, tgt_lang, src, tgt, score from firsts where line_id = first_id",
+}
