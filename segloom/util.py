@@ -67,6 +67,18 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def write_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """Writes one file through Hadoop's file systems, so the folder may be any it knows."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        for begin in range(0, len(content), 1 << 20):
+            stream.write(bytearray(content[begin : begin + (1 << 20)]))
+    finally:
+        stream.close()
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
@@ -99,4 +111,4 @@ def strip(c: Column) -> Column:
 
 def blank(c: Column) -> Column:
     """True for null, empty and white-space-only texts."""
-    return F.coalesce(F.length(strip(c)) == 0, F.lit(True))
+    return ~F.coalesce(c.rlike(r"(?U)\S"), F.lit(False))
