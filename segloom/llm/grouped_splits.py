@@ -13,7 +13,7 @@ import math
 from collections import defaultdict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from segloom.functions.langs import with_label_codes
@@ -193,5 +193,5 @@ def split_report(df: DataFrame, shares: list[tuple[str, float]]) -> DataFrame:
     got = assign_splits(df, shares).groupBy("split_name").agg(F.count("*").alias("n_rows"))
     asked = df.sparkSession.createDataFrame([(n, float(s)) for n, s in shares], "split_name string, split_share double")
     rows = F.broadcast(asked).join(got, "split_name", "left").select("split_name", "split_share", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
-    total = rows.agg(F.sum("n_rows").alias("total"))
-    return rows.join(F.broadcast(total)).select("split_name", "split_share", "n_rows", (F.col("n_rows") / F.greatest("total", F.lit(1))).alias("got_share"))
+    total = F.sum("n_rows").over(Window.partitionBy(F.lit(0)))  # one row for each split
+    return rows.withColumn("total", total).select("split_name", "split_share", "n_rows", (F.col("n_rows") / F.greatest("total", F.lit(1))).alias("got_share"))

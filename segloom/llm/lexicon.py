@@ -11,8 +11,7 @@ byte a step.
 from __future__ import annotations
 
 import functools
-import os
-import tempfile
+import io
 import uuid
 
 import numpy as np
@@ -20,6 +19,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 
 from segloom.llm import tokenizers as T
+from segloom.util import shared_dir, write_file
 
 
 def compile_words(words: list[bytes], ids: list[list[int]]) -> dict[str, np.ndarray]:
@@ -103,14 +103,15 @@ FIELDS = ("code", "arc", "out", "final", "begin", "ids", "root")
 
 
 def ship(spark, arrays: dict[str, np.ndarray]) -> str:
-    """Writes the arrays to a file that every executor gets; returns its name."""
+    """Writes the arrays to a file in the shared folder that every executor gets a copy of, also
+    one that starts later; returns its name."""
     name = f"lexicon-{uuid.uuid4().hex}.bin"
-    folder = tempfile.mkdtemp(prefix="segloom-lexicon-")
-    path = os.path.join(folder, name)
-    with open(path, "wb") as f:
-        for field in FIELDS:
-            np.save(f, arrays[field])
-    spark.sparkContext.addFile(path)  # Spark keeps its own copy and serves it to executors
+    buffer = io.BytesIO()
+    for field in FIELDS:
+        np.save(buffer, arrays[field])
+    path = f"{shared_dir(spark)}/segloom/{name}"
+    write_file(spark, path, buffer.getvalue())
+    spark.sparkContext.addFile(path)
     return name
 
 
