@@ -22,8 +22,8 @@ from segloom.util import blank, table
 
 #: Weights of the model.
 WIDTH = 1 << 18
-#: Texts that the model is trained on at most (the first by a hash of id and field); each gives
-#: one uncut and up to CUTS cut examples.
+#: Texts that the model is trained on at most (those with a hash of id and field below a bound
+#: that about as many have); each gives one uncut and up to CUTS cut examples.
 TRAIN_TEXTS = 30000
 CUTS = 2
 EPOCHS = 4
@@ -202,15 +202,18 @@ def probabilities(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(weights[x].sum(axis=1) + weights[WIDTH]).astype(np.float64)))
 
 
-def length_limits(texts: DataFrame) -> DataFrame:
+def length_counts(texts: DataFrame) -> DataFrame:
+    """Texts of each length in characters and bytes, by source and field, over all texts."""
+    sizes = texts.select("origin", "field", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("b").alias("unit"), F.octet_length("text").alias("size")))).alias("x")).select("origin", "field", "x.unit", "x.size")
+    counts = sizes.groupBy("origin", "field", "unit", "size").agg(F.count("*").alias("n"))
+    return table(counts, "lengths")
+
+
+def length_limits(counts: DataFrame) -> DataFrame:
     """Limits of each source and field: (origin, field, limits array<struct<unit, size>>).
 
-    A limit is a length, in characters or bytes, that stands out of the lengths around it. The
-    counts are taken over all texts and combine before the shuffle.
+    A limit is a length, in characters or bytes, that stands out of the lengths around it.
     """
-    sizes = texts.select("origin", "field", F.explode(F.array(F.struct(F.lit("c").alias("unit"), F.length("text").alias("size")), F.struct(F.lit("b").alias("unit"), F.octet_length("text").alias("size")))).alias("x")).select("origin", "field", "x.unit", "x.size")
-    counts = sizes.groupBy("origin", "field", "unit", "size").agg(F.count("*").alias("n"))
-    counts = table(counts, "lengths")
     total = counts.where("unit = 'c'").groupBy(F.col("origin").alias("o"), F.col("field").alias("f")).agg(F.sum("n").alias("total"))
     # each length counts for itself and for the surroundings of its neighbours
     reach = F.explode(F.sequence(F.lit(-SPIKE_WINDOW), F.lit(SPIKE_WINDOW))).alias("by")
@@ -239,9 +242,13 @@ def scored(df: DataFrame, id_col: str = "seg_id") -> DataFrame:
     """
     spark = df.sparkSession
     texts = _texts(df, id_col)
-    limits = table(length_limits(texts), "limits")
-    ranked = _with_limits(texts, limits).withColumn("h", F.xxhash64("id", "field")).orderBy("h", "id", "field", "text").limit(TRAIN_TEXTS)
-    sample = [(r.text, [(x.unit, x.size) for x in r.limits] if r.limits else None) for r in ranked.select("text", "limits").collect()]
+    counts = length_counts(texts)
+    limits = table(length_limits(counts), "limits")
+    n = max(1, counts.where("unit = 'c'").agg(F.sum("n")).first()[0] or 0)
+    slot = F.pmod(F.xxhash64("id", "field"), F.lit(1 << 40))
+    some = _with_limits(texts.where(slot < int(min(1.0, 0.95 * TRAIN_TEXTS / n) * (1 << 40))), limits)
+    some = some.select(slot.alias("h"), "text", "limits").limit(TRAIN_TEXTS).collect()
+    sample = [(r.text, [(x.unit, x.size) for x in r.limits] if r.limits else None) for r in sorted(some, key=lambda r: (r.h, r.text))]
     known = [(r.unit, r.size) for r in limits.select(F.explode("limits").alias("x")).select("x.unit", "x.size").distinct().orderBy("unit", "size").limit(1000).collect()]
     weights = spark.sparkContext.broadcast(fit(*examples(sample, known)))
 
