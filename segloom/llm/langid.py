@@ -13,6 +13,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +36,19 @@ ORDER = 4
 LEAST_LEAD = 6.0
 LEAST_KNOWN = 2
 LEAST_KNOWN_SHARE = 0.2
+#: Largest difference that an unseen word can make, and nats beyond which a lead is certain.
+DEEPEST = math.log(10 / LEAST_GRAM_SHARE)
+CERTAIN = 16.0
 
 CJK = re.compile(r"[ぁ-ヿ一-鿿々]")
 PLAIN = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 #: Runs of one script: a text without spaces falls into words as well.
 MIXED = re.compile(r"[ぁ-ゟ]+|[゠-ヿ]+|[一-鿿々]+|[^\W\d_ぁ-ヿ一-鿿々]+")
-#: Sentences end after closing punctuation, before something that may begin one.
-SENTENCE = re.compile(r"(?<=[。！？])[」』”]*|(?<=[.!?…])[”»“\"'’)\]]*\s+(?=[\W]*[A-ZÀ-ÞĀ-ſА-ЯЁІЇЄҐ぀-ヿ一-鿿])")
+#: Sentences end after closing punctuation; if it isn't East Asian, before white space and
+#: something that may begin a sentence.
+_CLOSERS, _BEGINS = r"[」』”»“\"'’)\]]*", r"(\s+(?=\W*[A-ZÀ-ÞĀ-ſА-ЯЁІЇЄҐ぀-ヿ一-鿿]))"
+SENTENCE = re.compile(f"([.!?]){_CLOSERS}{_BEGINS}")
+SENTENCE_CJK = re.compile(f"([.!?…。！？]){_CLOSERS}{_BEGINS}?")
 
 
 def words(text: str) -> list[str]:
@@ -50,37 +57,55 @@ def words(text: str) -> list[str]:
 
 def sentences(text: str) -> list[tuple[int, int]]:
     """(begin, end) of the sentences; they cover the text."""
-    cuts = [m.end() for m in SENTENCE.finditer(text) if 0 < m.end() < len(text)]
-    edges = [0, *sorted(set(cuts)), len(text)]
-    return [(a, b) for a, b in zip(edges, edges[1:]) if b > a]
-
-
-def grams(word: str, order: int) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + order] for i in range(len(padded) - order + 1)]
+    edges = [0]
+    for m in (SENTENCE_CJK if CJK.search(text) or "…" in text else SENTENCE).finditer(text):
+        if (m.group(2) or m.group(1) in "。！？") and m.end() < len(text):
+            edges.append(m.end())
+    edges.append(len(text))
+    return list(zip(edges, edges[1:]))
 
 
 def _count_words(batches):
     for batch in batches:
-        seen: dict[str, Counter] = {}
+        seen: dict[str, list[str]] = {}
         texts: Counter = Counter()
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            seen.setdefault(lang, Counter()).update(words(text))
+            seen.setdefault(lang, []).extend(words(text))
             texts[lang] += 1
-        rows = [(lang, w, n) for lang, c in seen.items() for w, n in c.items()] + [(lang, "", n) for lang, n in texts.items()]
+        rows = [(lang, w, n) for lang, found in seen.items() for w, n in Counter(found).items()] + [(lang, "", n) for lang, n in texts.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
 
+def gram_counts(found: list[str]) -> list[tuple[int, str, int]]:
+    """(order, n-gram, occurrences) in padded words, for orders 1 to ORDER.
+
+    All words are one array of code points. An n-gram is numbered by its first n - 1 characters
+    and its last one, so equal numbers are equal n-grams.
+    """
+    text = "".join(f" {w} \n" for w in found)
+    points = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
+    ends = points == 10
+    number, inside, out = np.zeros(len(points), np.int64), np.ones(len(points), bool), []
+    for order in range(1, ORDER + 1):
+        size = max(0, len(points) - order + 1)
+        inside = inside[:size] & ~ends[order - 1 :]
+        begin = np.flatnonzero(inside)
+        code, distinct = pd.factorize(number[begin] << 21 | points[begin + order - 1])
+        first = np.empty(len(distinct), np.int64)
+        first[code[::-1]] = begin[::-1]
+        out += [(order, text[i : i + order], n) for i, n in zip(first.tolist(), np.bincount(code, minlength=len(distinct)).tolist())]
+        number = np.zeros(size, np.int64)
+        number[begin] = code
+    return out
+
+
 def _count_grams(batches):
     for batch in batches:
-        seen: Counter = Counter()
+        own: dict[str, list[str]] = {}
         for lang, word in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for order in range(1, ORDER + 1):
-                seen.update((lang, order, g) for g in grams(word, order))
-        rows = list(seen.items())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([r[0][0] for r in rows], pa.string()), pa.array([r[0][1] for r in rows], pa.int32()), pa.array([r[0][2] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64())], ["lang", "ord", "gram", "n"]
-        )
+            own.setdefault(lang, []).append(word)
+        rows = [(lang, *g) for lang, found in own.items() for g in gram_counts(found)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.int64()))], ["lang", "ord", "gram", "n"])
 
 
 class Model:
@@ -95,87 +120,111 @@ class Model:
                 out[k] = [math.log(max(own.get(lang, 0) / max(total.get(lang, 0), 1), floor)) for lang in langs]
             return out
 
-        self.index = {w: i for i, w in enumerate(word_counts)}
+        # single letters of alphabets aren't known words
+        self.index = {w: i for i, w in enumerate(word_counts) if len(w) > 1 or w > "\u3000"}
         self.scores = matrix(word_counts, totals, LEAST_WORD_SHARE / 10)
-        self.scores[-1] = 0
-        self.grams = [{g: i for i, g in enumerate(c)} for c in gram_counts]
-        self.gram_scores = [matrix(c, t, LEAST_GRAM_SHARE / 10) for c, t in zip(gram_counts, gram_totals)]
+        self.grams: dict[str, int] = {}
+        parts = []
+        for counts, total in zip(gram_counts, gram_totals):
+            self.grams |= {g: len(self.grams) + i for i, g in enumerate(counts)}
+            parts.append(matrix(counts, total, LEAST_GRAM_SHARE / 10)[:-1])
+        self.gram_scores = np.vstack(parts)
         self.prior = np.array([priors[lang] for lang in langs], np.float32)
-        self.seen: dict[str, np.ndarray] = {}
+        self.seen: dict[str, list[int]] = {}
 
-    def backoff(self, word: str) -> np.ndarray:
-        """Mean over the positions of the scores of the longest known n-gram that ends there."""
+    def backoff(self, word: str) -> list[int]:
+        """At each position of an unseen word the longest known n-gram that ends there."""
         known = self.seen.get(word)
         if known is not None:
             return known
-        padded = f" {word} "
-        total, n = np.zeros(len(self.langs), np.float32), 0
+        padded, get, out = f" {word} ", self.grams.get, []
         for end in range(1, len(padded) + 1):
-            for order in range(min(ORDER, end), 0, -1):
-                i = self.grams[order - 1].get(padded[end - order : end])
-                if i is not None:
-                    total += self.gram_scores[order - 1][i]
-                    n += 1
+            for begin in range(max(0, end - ORDER), end):
+                if (i := get(padded[begin:end])) is not None:
+                    out.append(i)
                     break
-        out = total / n if n else total
         if len(self.seen) > 200_000:  # a bound on memory; results don't depend on it
             self.seen.clear()
         self.seen[word] = out
         return out
 
-    def score(self, text: str) -> tuple[np.ndarray, np.ndarray, int, int]:
-        """(scores with the prior, scores of the known words alone, known words, words)."""
-        found = words(text)
-        index = self.index
-        at = [index.get(w, -1) if len(w) > 1 or w > "\u3000" else -1 for w in found]
-        known = self.scores[at].sum(axis=0) if at else np.zeros(len(self.langs), np.float32)
-        total = known + self.prior
-        n = 0
-        for w, i in zip(found, at):
-            if i < 0:
-                total = total + self.backoff(w)
-            else:
-                n += 1
-        return total, known, n, len(found)
-
-    def stretches(self, text: str) -> list[tuple[int, int, str | None, float]]:
-        """(begin, end, language, confidence) of the stretches of one language.
+    def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For each text: scores of its known words, scores of the n-grams of the others (the
+        mean over a word's positions; 0 where the known words decide whatever the others are),
+        number of known words, number of words."""
+        found = [words(t) for t in texts]
+        n_words = np.array([len(x) for x in found], np.int64)
+        flat = [w for x in found for w in x]
+        get = self.index.get
+        at = np.array([get(w, -1) for w in flat], np.int64)
+        owner = np.repeat(np.arange(len(texts)), n_words)
+        seen = at >= 0
+        known = _add_up(self.scores, at[seen], owner[seen], None, len(texts))
+        # unseen words are backed off only where they could change anything: a word's score in
+        # two languages differs by DEEPEST at most
+        n_known = np.bincount(owner[seen], minlength=len(texts))
+        top = np.sort(known, axis=1)
+        lead = top[:, -1] - top[:, -2] if known.shape[1] > 1 else np.zeros(len(texts))
+        open_ = lead < DEEPEST * (n_words - n_known + 1) + CERTAIN + (np.ptp(self.prior) if len(self.prior) else 0.0)
+        unseen = np.flatnonzero(~seen & open_[owner])
+        own = [self.backoff(flat[i]) for i in unseen.tolist()]
+        size = np.array([len(x) for x in own], np.int64)
+        gram = np.fromiter((i for x in own for i in x), np.int64, int(size.sum()))
+        other = _add_up(self.gram_scores, gram, np.repeat(owner[unseen], size), np.repeat(1.0 / np.maximum(size, 1), size).astype(np.float32), len(texts))
+        return known, other, n_known, n_words
+
+    def decide(self, known: np.ndarray, other: np.ndarray, n: np.ndarray, every: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the language or -1, confidence) of each row of scores."""
+        if not len(self.langs) or not len(known):
+            return np.full(len(known), -1), np.zeros(len(known))
+        total = known + other + self.prior
+        row = np.arange(len(total))
+        best = total.argmax(axis=1)
+        rest = known.copy()
+        rest[row, best] = -np.inf
+        lead = known[row, best] - rest.max(axis=1)
+        sure = (n >= LEAST_KNOWN) & (n >= LEAST_KNOWN_SHARE * every) & (lead >= LEAST_LEAD)
+        p = 1.0 / np.exp(np.minimum(0.0, total - total[row, best][:, None]).astype(np.float64)).sum(axis=1)
+        return np.where(sure, best, -1), np.where(sure, p, 0.0)
+
+    def stretches(self, texts: list[str]) -> list[list[tuple[int, int, str | None, float]]]:
+        """(begin, end, language, confidence) of the stretches of one language of each text.
 
         A sentence has a language if its known words decide it; others (fragments, names,
         numbers) belong to the stretch before, or to the next one at the start. The whole text
         is tried as one where no sentence decides alone. Without any language, one stretch with
         null and 0.
         """
-        parts = []
-        for a, b in sentences(text):
-            lang, sure = self.decide(text[a:b])
-            parts.append([a, b, lang, sure])
-        named = [p for p in parts if p[2]]
-        if not named:
-            lang, sure = self.decide(text)
-            return [(0, len(text), lang, sure)]
-        out: list[list] = []
-        for p in parts:
-            if out and (p[2] is None or out[-1][2] is None or p[2] == out[-1][2]):
-                last = out[-1]
-                last[1] = p[1]
-                last[3] = max(last[3], p[3])
-                last[2] = last[2] or p[2]
-            else:
-                out.append(p)
-        return [tuple(p) for p in out]
-
-    def decide(self, text: str) -> tuple[str | None, float]:
-        total, known, n, every = self.score(text)
-        if n < max(LEAST_KNOWN, LEAST_KNOWN_SHARE * every):
-            return None, 0.0
-        best = int(total.argmax())
-        rest = np.delete(known, best)
-        lead = float(known[best] - rest.max()) if len(rest) else math.inf
-        if lead < LEAST_LEAD:
-            return None, 0.0
-        others = np.exp(np.minimum(0.0, np.delete(total, best) - total[best]).astype(np.float64)).sum()
-        return self.langs[best], float(1.0 / (1.0 + others))
+        spans = [sentences(t) for t in texts]
+        owner = np.repeat(np.arange(len(texts)), [len(x) for x in spans])
+        known, other, n, every = self.score([t[a:b] for t, x in zip(texts, spans) for a, b in x])
+        lang, p = self.decide(known, other, n, every)
+        add = lambda x: np.add.reduceat(x, np.flatnonzero(np.concatenate([[True], np.diff(owner) > 0])), axis=0) if len(owner) else x
+        whole, whole_p = self.decide(add(known), add(other), add(n), add(every))
+        out, k = [], 0
+        for t, own in enumerate(spans):
+            here: list[list] = []
+            for (a, b), i, q in zip(own, lang[k : k + len(own)].tolist(), p[k : k + len(own)].tolist()):
+                if here and (i < 0 or here[-1][2] < 0 or i == here[-1][2]):
+                    last = here[-1]
+                    last[1], last[2], last[3] = b, max(last[2], i), max(last[3], q)
+                else:
+                    here.append([a, b, i, q])
+            k += len(own)
+            if len(here) == 1 and here[0][2] < 0:
+                here[0][2:] = [int(whole[t]), float(whole_p[t])]
+            out.append([(a, b, self.langs[i] if i >= 0 else None, q) for a, b, i, q in here])
+        return out
+
+
+def _add_up(scores: np.ndarray, at: np.ndarray, owner: np.ndarray, weight: np.ndarray | None, n: int) -> np.ndarray:
+    """Sums of the rows `at` of the scores by owner (rising)."""
+    out = np.zeros((n, scores.shape[1]), np.float32)
+    if len(at):
+        rows = scores[at] if weight is None else scores[at] * weight[:, None]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(owner) > 0]))
+        out[owner[first]] = np.add.reduceat(rows, first, axis=0)
+    return out
 
 
 def _texts(df: DataFrame, id_col: str) -> DataFrame:
@@ -215,28 +264,30 @@ def train(texts: DataFrame) -> Model:
     return Model(langs, word_counts, totals, gram_counts, gram_totals, priors)
 
 
-def _label(texts: DataFrame) -> DataFrame:
-    """Stretches of every text: id, field, code, part, begin, length, lang, confidence."""
+def _label(texts: DataFrame, rows_of, schema: str) -> DataFrame:
+    """Labels every text; rows_of makes the rows of a text from its label and stretches."""
     model = texts.sparkSession.sparkContext.broadcast(train(texts))
-    names = ["id", "field", "code", "part", "begin", "length", "lang", "confidence"]
+    names = ["id", "field", *(x.split()[0] for x in schema.split(", "))]
 
     def run(batches):
         for batch in batches:
-            at, part, begin, length, lang, sure = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(3).to_pylist()):
-                for k, (a, b, name, p) in enumerate(model.value.stretches(text)):
+            at, out = [], []
+            for i, (code, found) in enumerate(zip(batch.column(2).to_pylist(), model.value.stretches(batch.column(3).to_pylist()))):
+                for row in rows_of(code, found):
                     at.append(i)
-                    part.append(k)
-                    begin.append(a)
-                    length.append(b - a)
-                    lang.append(name)
-                    sure.append(p)
+                    out.append(row)
             index = pa.array(at, pa.int64())
-            own = [batch.column(k).take(index) for k in range(3)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(part, pa.int32()), pa.array(begin, pa.int32()), pa.array(length, pa.int32()), pa.array(lang, pa.string()), pa.array(sure, pa.float64())], names)
+            kinds = [{"string": pa.string(), "int": pa.int32(), "double": pa.float64()}[x.split()[1]] for x in schema.split(", ")]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(index), batch.column(1).take(index), *[pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)]], names)
 
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "field", "code", "text").mapInArrow(run, f"id {kind}, field string, code string, part int, begin int, length int, lang string, confidence double")
+    return texts.select("id", "field", "code", "text").mapInArrow(run, f"id {kind}, field string, {schema}")
+
+
+def _wrong(code: str | None, found) -> list[tuple[str]]:
+    """The languages of a text, if its label doesn't hold."""
+    langs = sorted({lang for _, _, lang, _ in found if lang})
+    return [(lang,) for lang in langs] if len(langs) > 1 or (langs and code != langs[0]) else []
 
 
 def text_languages(df: DataFrame, id_col: str = "seg_id") -> DataFrame:
@@ -246,7 +297,8 @@ def text_languages(df: DataFrame, id_col: str = "seg_id") -> DataFrame:
     confidence. Texts whose words decide no language (only names, numbers, fragments) are one
     stretch with a null language and confidence 0; null and blank texts have no row.
     """
-    out = _label(_texts(df, id_col))
+    parts = lambda code, found: [(k, a, b - a, lang, p) for k, (a, b, lang, p) in enumerate(found)]
+    out = _label(_texts(df, id_col), parts, "part int, begin int, length int, lang string, confidence double")
     return out.select(F.col("id").alias(id_col), F.col("field").alias("field_name"), "part", "begin", "length", "lang", "confidence")
 
 
@@ -256,7 +308,5 @@ def wrong_labels(df: DataFrame, id_col: str = "seg_id") -> DataFrame:
     A text is given if its label is missing or names no language, names another one than the
     text's, or the text has sentences of two languages; one row for each of its languages.
     """
-    out = _label(_texts(df, id_col)).where("lang is not null")
-    found = out.groupBy("id", "field").agg(F.collect_set("lang").alias("langs"), F.first("code", ignorenulls=True).alias("code"))
-    wrong = found.where((F.size("langs") > 1) | F.col("code").isNull() | (F.col("code") != F.col("langs")[0]))
-    return wrong.select(F.col("id").alias(id_col), F.col("field").alias("field_name"), F.explode("langs").alias("lang"))
+    out = _label(_texts(df, id_col), _wrong, "lang string")
+    return out.select(F.col("id").alias(id_col), F.col("field").alias("field_name"), "lang")
