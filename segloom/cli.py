@@ -7,6 +7,8 @@ import json
 import os
 import sys
 
+import pandas as pd
+
 from segloom.scoring.architectures import ARCHITECTURES
 from segloom.scoring.base import ScorerConfig
 
@@ -110,7 +112,6 @@ def predict_da(args, spark) -> None:
 
 
 def merge_line(raw, src, tgt, score):
-    import pandas as pd
     from pyspark.sql import functions as F
 
     @F.pandas_udf("string")

@@ -23,8 +23,12 @@ class FileTokenizer:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer as Loaded
+        from tokenizers import decoders
 
         self.inner = Loaded.from_file(path)
+        suffix = getattr(self.inner.model, "end_of_word_suffix", None)
+        if self.inner.decoder is None and suffix:  # the file says how words end, not how to join them
+            self.inner.decoder = decoders.BPEDecoder(suffix=suffix)
 
     def encode(self, text: str) -> list[int]:
         return self.inner.encode(text).ids

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,8 +122,6 @@ OPTIMIZERS = {"MIPROv2": search_joint, "SIMBA": search_ascent}
 
 def asked(programs: list[Program], args, train: DataFrame) -> CandidateColumn:
     """Predictions of an endpoint as a column: a Pandas UDF that sends each batch of rows."""
-    import pandas as pd
-
     from segloom.cli import scorer_of
     from segloom.scoring.architectures import architecture
 
