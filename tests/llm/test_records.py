@@ -198,3 +198,16 @@ def test_overlaps_against_brute_force(spark):
     report = overlap.overlap_report(df).collect()
     assert sum(r.n_overlapping for r in report) == len({x for p in got for x in p if dict((r[0], r[1]) for r in rows)[x] != "train"})
     assert overlap.split_overlaps(df.limit(0)).count() == 0
+
+
+def test_coverage_of_long_copies(spark):
+    """A copy of a text longer than all rare passages together is covered to its last character."""
+    rng = random.Random(11)
+    long = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=500 + k)) for k in range(4)]
+    rows = [(1, "train", long[0], long[1], "o"), (2, "test", long[0], long[1], "o"), (3, "train", long[2], long[3], "o"), (4, "test", "?" + long[2][:-3] + "...", long[3][:250].upper() + long[3][253:], "o")]
+    df = spark.createDataFrame(rows, "ex_id bigint, split_name string, src string, tgt string, origin string")
+    got = {r.ex_id: r for r in overlap.overlap_rows(df).collect()}
+    assert got[2].exact and got[2].cover_src == got[2].cover_tgt == 1.0
+    assert not got[4].exact and 0.9 < got[4].cover_src <= 1.0 and 0.9 < got[4].cover_tgt <= 1.0
+    for text in ("a", "abcd", "abcdefg", "x" * 17, long[0]):
+        assert overlap.merged([(b, b + len(p)) for p, b in overlap.passages(text)]) == len(text)
