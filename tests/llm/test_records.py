@@ -211,3 +211,45 @@ def test_coverage_of_long_copies(spark):
     assert not got[4].exact and 0.9 < got[4].cover_src <= 1.0 and 0.9 < got[4].cover_tgt <= 1.0
     for text in ("a", "abcd", "abcdefg", "x" * 17, long[0]):
         assert overlap.merged([(b, b + len(p)) for p, b in overlap.passages(text)]) == len(text)
+
+
+def edited(text, places):
+    """The text with other characters at these places."""
+    return "".join("#" if i in places else c for i, c in enumerate(text)).replace("#", "9")
+
+
+def test_candidates_miss_no_pair():
+    """All pairs of five sixths in both fields, wherever their differences are."""
+    rng = random.Random(5)
+    text = lambda n, k=26: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz"[:k], k=n))
+    records, trains = [], []
+    for n, step in ((6, 6), (12, 6), (18, 6), (100, 10), (96, 6), (300, 6), (2000, 200), (2000, 6), (513, 6)):
+        e = (text(n), text(n))
+        records.append((b"e", *e))
+        trains.append(tuple(edited(x, range(step // 2, n, step)) for x in e))
+    for n in (1, 5, 7, 30, 64, 65, 128, 200):  # insertions here, deletions there; few letters, so many pairs
+        for _ in range(12):
+            e = (text(n, 3), text(n, 4))
+            records.append((b"e", *e))
+            cut = [[c for c in x if rng.random() > 0.08] for x in e]
+            trains.append(tuple("".join(c + rng.choice("ab") * (rng.random() < 0.06) for c in x) or "a" for x in cut))
+    trains += [("\U0010ffff日本", "é"), records[0][1:]]
+    shard = overlap.Shard(records, 5 / 6)
+    want = {}
+    for i, t in enumerate(trains):
+        for j, (_, *e) in enumerate(shard.records):
+            same = [overlap.agreement(x, y) for x, y in zip(e, t)]
+            if min(same) >= 5 / 6:
+                want[i, j] = tuple(same)
+    got = {(i, j): (a, b) for i, j, a, b in shard.partners(trains)}
+    assert got == want and {i for i, _ in got} >= set(range(9)) | {len(trains) - 1}
+
+
+def test_pairs_without_a_common_passage(spark):
+    rng = random.Random(6)
+    rows = []
+    for k, (n, step) in enumerate(((6, 6), (12, 6), (18, 6), (100, 10))):
+        e = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for _ in range(2)]
+        rows += [(2 * k, "test", *e, "o"), (2 * k + 1, "train", *(edited(x, range(step // 2, n, step)) for x in e), "o")]
+    df = spark.createDataFrame(rows, "ex_id bigint, split_name string, src string, tgt string, origin string")
+    assert {(r.ex_id_a, r.ex_id_b) for r in overlap.split_overlaps(df).collect()} == {(2 * k, 2 * k + 1) for k in range(4)}
