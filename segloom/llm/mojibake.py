@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from segloom.util import parallelism, shuffle_partitions, table
 
-WORD = re.compile(r"[A-Za-z\x80-\U0010ffff]*[\x80-\U0010ffff][A-Za-z\x80-\U0010ffff]*")
-RUN = re.compile(r"[\x80-\U0010ffff]+")
+#: Characters outside ASCII but those of East Asian writing and its punctuation: a text may be
+#: garbled in part, and a run that ends where clean characters begin is looked at on its own.
+_OTHER = "\x80-\u2fff\u3100-\u33ff\ua000-\uff00\uffa0-\U0010ffff"
+WORD = re.compile(f"[A-Za-z{_OTHER}]*[{_OTHER}][A-Za-z{_OTHER}]*")
+RUN = re.compile(f"[{_OTHER}]+")
 CJK = re.compile("[々-ヿ㐀-鿿ｦ-ﾟ]")
 SIGN = re.compile(r"[^\w\s]|[\x80-\x9f\xa0]|_")
 #: Longer tokens aren't words; they are known by their n-grams.
@@ -129,13 +132,12 @@ def tokens(text: str) -> set[tuple[str, str]]:
     """The tokens of a text that may be garbled forms, or words to garble, by kind."""
     out: set[tuple[str, str]] = set()
     for word in WORD.findall(text):
-        cjk = CJK.search(word)
-        if len(word) <= LONGEST and not cjk:
+        if len(word) <= LONGEST:
             out.add(("w", word))
         for run in RUN.findall(word):
-            if len(run) <= LONGEST and not cjk:
+            if len(run) <= LONGEST:
                 out.add(("r", run))
-            if len(run) >= 6 and not cjk and SIGN.search(run):
+            if len(run) >= 6 and SIGN.search(run):
                 out.update(("g", run[i : i + n]) for n in (2, 3) for i in range(len(run) - n + 1))
                 # a character of three bytes mistaken twice is five to eight characters long
                 out.update(("g", run[i : i + n]) for i, c in enumerate(run) if c == "Ã" for n in range(5, 9) if i + n <= len(run))

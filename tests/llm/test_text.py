@@ -290,3 +290,17 @@ def test_gram_counts():
         for order in range(1, langid.ORDER + 1):
             want.update((order, f" {w} "[i : i + order]) for i in range(len(w) + 3 - order))
     assert {(o, g): n for o, g, n in langid.gram_counts(found)} == want and langid.gram_counts([]) == []
+
+
+def test_text_garbled_up_to_clean_cjk(spark):
+    """Japanese garbled only in part: the garbled part touches clean characters and punctuation."""
+    rng = random.Random(3)
+    words = ["契約書", "図書館", "倉庫", "翻訳者", "調べる", "届ける", "早春に", "会議の後で", "新しい", "地図を", "先生は"]
+    sentence = lambda: "".join(rng.choices(words, k=6)) + "。"
+    clean = [sentence() + sentence() for _ in range(60)]
+    parts = [(sentence(), sentence(), sentence()) for _ in range(3)]
+    wrong = [a + mojibake.garble(b, ("utf_8", "cp1252")) + c for a, b, c in parts]
+    df = spark.createDataFrame([(i, t, None) for i, t in enumerate(clean + wrong)], "seg_id bigint, src string, tgt string")
+    assert {r.seg_id for r in mojibake.garbled_fields(df).collect()} == {60, 61, 62}
+    got = {r.seg_id: (r.text, r.recovered) for r in mojibake.restored_fields(df).collect()}
+    assert got == {60 + k: ("".join(p), True) for k, p in enumerate(parts)}
