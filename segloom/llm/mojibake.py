@@ -64,6 +64,9 @@ TWICE = [("utf_8", a, b) for a in ("cp1252", "latin_1") for b in ("cp1252", "lat
 #: turns characters into several (no clean text looks like that), more where letters only
 #: become other letters.
 TIMES_SEVERAL, TIMES_SINGLE = 1, 4
+#: A text counts so many times at most, however many copies it has: one garbled text in many
+#: rows doesn't make its tokens frequent.
+COPIES = 4
 #: Bits of the filters that keep forms which the corpus doesn't have out of the shuffle.
 FILTER_BITS = 1 << 25
 
@@ -174,9 +177,12 @@ def _fields(df: DataFrame, id_col: str, text_cols) -> DataFrame:
 def _count(batches):
     for batch in batches:
         seen: Counter = Counter()
-        for text in batch.column(0).to_pylist():
-            seen.update(tokens(text))
-            seen.update(("c", c) for c in set(text) if c > "\x7f")
+        for text, copies in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for key in tokens(text):
+                seen[key] += copies
+            for c in set(text):
+                if c > "\x7f":
+                    seen["c", c] += copies
         keys = list(seen)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k for k, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.string()), pa.array([_slot(k, t) for k, t in keys], pa.int32()), pa.array(seen.values(), pa.int64())], ["kind", "token", "slot", "n"]
@@ -239,7 +245,8 @@ def garbled_tokens(fields: DataFrame) -> DataFrame:
     One row for each token, with its most frequent explanation.
     """
     spark = fields.sparkSession
-    part = fields.select("text").mapInArrow(_count, "kind string, token string, slot int, n bigint")
+    texts = fields.groupBy("text").agg(F.least(F.count("*"), F.lit(COPIES)).alias("copies"))
+    part = texts.mapInArrow(_count, "kind string, token string, slot int, n bigint")
     seen = table(part.groupBy("kind", "token").agg(F.first("slot").alias("slot"), F.sum("n").alias("n")), "tokens")
     bits = _filter(spark, seen.where("kind != 'c'").select("slot"))
     words = seen.where("kind != 'g'").select("kind", "token", "n")

@@ -304,3 +304,14 @@ def test_text_garbled_up_to_clean_cjk(spark):
     assert {r.seg_id for r in mojibake.garbled_fields(df).collect()} == {60, 61, 62}
     got = {r.seg_id: (r.text, r.recovered) for r in mojibake.restored_fields(df).collect()}
     assert got == {60 + k: ("".join(p), True) for k, p in enumerate(parts)}
+
+
+def test_copies_of_a_garbled_text(spark):
+    """One garbled text in a third of all rows is found, and the clean ones are not."""
+    rng = random.Random(4)
+    words = ["капитан", "проверяет", "старую", "карту", "зимой", "письмо", "лодку", "мост", "вечером"]
+    clean = [" ".join(rng.choices(words, k=7)) for _ in range(60)]
+    wrong = [mojibake.garble(" ".join(words), chain) for chain in (("cp1251", "koi8_r"), ("utf_8", "cp1252"))]
+    for w in wrong:
+        df = spark.createDataFrame([(i, t, None) for i, t in enumerate(clean + [w] * 90)], "seg_id bigint, src string, tgt string")
+        assert {r.seg_id for r in mojibake.garbled_fields(df).collect()} == set(range(60, 150))
