@@ -86,14 +86,16 @@ def demonstrations(data: DataFrame, objective: str, count: int, seed: int = 42)
     return [r.asDict() for r in data.select(*cols).orderBy(order_key(seed, *cols)).limit(count).collect()]
 
 
-def search_joint(programs: list[Program], train: DataFrame, validation: DataFrame | None, predict: CandidateColumn, config: TrainingConfig, minibatch: int = 200, keep: int = 3) -> tuple[int, DataFrame]:
-    """Scores all candidates on a seeded minibatch and the best few on all data; returns the
-    best one's number and the table of final scores. The idea is that of MIPROv2
-    (arXiv 2406.11695): cheap trials first, full evaluation for the survivors."""
-    key = [c for c in train.columns]
-    small = table(train.orderBy(order_key(42, *key)).limit(minibatch), "minibatch")
-    trial = evaluate(small, list(range(len(programs))), predict, config.objective, config.epsilon).collect()
-    best = [r.program for r in sorted(trial, key=lambda r: (-(r.objective or 0.0), r.program))[: max(1, keep)]]
+def search_joint(programs: list[Program], train: DataFrame, validation: DataFrame | None, predict: CandidateColumn, config: TrainingConfig, minibatch: int = 200, keep: int | None = None) -> tuple[int, DataFrame]:
+    """Scores all candidates on all data in one pass; returns the best one's number and the
+    table of final scores. Only if `keep` is given, cheap trials come first, as in MIPROv2
+    (arXiv 2406.11695): all candidates on a seeded minibatch, and the best few on all data."""
+    best = list(range(len(programs)))
+    if keep is not None:
+        key = [c for c in train.columns]
+        small = table(train.orderBy(order_key(42, *key)).limit(minibatch), "minibatch")
+        trial = evaluate(small, best, predict, config.objective, config.epsilon).collect()
+        best = [r.program for r in sorted(trial, key=lambda r: (-(r.objective or 0.0), r.program))[: max(1, keep)]]
     final = table(evaluate(validation if validation is not None else train, best, predict, config.objective, config.epsilon), "final")
     top = final.orderBy(F.desc("objective"), "program").first()
     return top.program, final

@@ -262,3 +262,12 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
         cli.parser().parse_args(["train-da", "--training-data", "x", "--output", "y", "--pairwise-k-per-source", "0"])
     with pytest.raises(SystemExit):
         cli.parser().parse_args(["--sampling-params", "{bad", "predict-da"])
+
+
+def test_joint_search_scores_every_candidate(spark):
+    """Three of six candidates look better on a sample, one of the others is best on all data."""
+    rows = spark.range(1000).select(F.lit("en").alias("src_lang"), F.lit("de").alias("tgt_lang"), F.col("id").cast("string").alias("src"), F.lit("t").alias("tgt"), F.lit(50.0).alias("score"))
+    sample = {r.src for r in rows.orderBy(sampling.order_key(42, *rows.columns)).limit(200).collect()}
+    off = lambda p, i: F.when(i["src"].isin(*sample), F.lit(50 + p)).otherwise(F.lit(80 - p))
+    best, scores = optimize.search_joint([Program.new("DA")] * 6, rows, None, off, optimize.TrainingConfig("tRMSE"))
+    assert best == 5 and sorted(r.program for r in scores.collect()) == list(range(6))
