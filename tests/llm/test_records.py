@@ -2,6 +2,7 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -218,8 +219,8 @@ def edited(text, places):
     return "".join("#" if i in places else c for i, c in enumerate(text)).replace("#", "9")
 
 
-def test_candidates_miss_no_pair():
-    """All pairs of five sixths in both fields, wherever their differences are."""
+def test_bounds_lose_no_pair():
+    """All pairs of five sixths in both fields, wherever their differences are, pass the bounds."""
     rng = random.Random(5)
     text = lambda n, k=26: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz"[:k], k=n))
     records, trains = [], []
@@ -234,14 +235,15 @@ def test_candidates_miss_no_pair():
             cut = [[c for c in x if rng.random() > 0.08] for x in e]
             trains.append(tuple("".join(c + rng.choice("ab") * (rng.random() < 0.06) for c in x) or "a" for x in cut))
     trains += [("\U0010ffff日本", "é"), records[0][1:]]
-    shard = overlap.Shard(records, 5 / 6)
+    shard = overlap.Shard([(*r, [], []) for r in records], 5 / 6)
     want = {}
     for i, t in enumerate(trains):
-        for j, (_, *e) in enumerate(shard.records):
+        for j, (_, *e) in enumerate(records):
             same = [overlap.agreement(x, y) for x, y in zip(e, t)]
             if min(same) >= 5 / 6:
                 want[i, j] = tuple(same)
-    got = {(i, j): (a, b) for i, j, a, b in shard.partners(trains)}
+    every = np.divmod(np.arange(len(trains) * len(records)), len(records))
+    got = {(i, j): (a, b) for i, j, a, b in shard.partners(trains, every)}
     assert got == want and {i for i, _ in got} >= set(range(9)) | {len(trains) - 1}
 
 
@@ -253,3 +255,61 @@ def test_pairs_without_a_common_passage(spark):
         rows += [(2 * k, "test", *e, "o"), (2 * k + 1, "train", *(edited(x, range(step // 2, n, step)) for x in e), "o")]
     df = spark.createDataFrame(rows, "ex_id bigint, split_name string, src string, tgt string, origin string")
     assert {(r.ex_id_a, r.ex_id_b) for r in overlap.split_overlaps(df).collect()} == {(2 * k, 2 * k + 1) for k in range(4)}
+
+
+def test_recall_against_brute_force(spark):
+    """Differences at random places, up to a full sixth, in both fields, at four lengths."""
+    rng, rows, want = random.Random(8), [], set()
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for n in (50, 100, 300, 1000):
+        for share in (0.06, 0.1, 0.13, 1 / 6):
+            for _ in range(100):
+                a = len(rows)
+                e = ["".join(rng.choices(letters, k=n)) for _ in range(2)]
+                t = [edited(x, set(rng.sample(range(n), int(n * share)))) for x in e]
+                rows += [(a, "test", *e, "o"), (a + 1, "train", *t, "o")]
+                want.add((a, a + 1))
+    df = spark.createDataFrame(rows, "ex_id bigint, split_name string, src string, tgt string, origin string")
+    got = {(r.ex_id_a, r.ex_id_b) for r in overlap.split_overlaps(df).collect()}
+    assert got <= want
+    for n, part in zip((50, 100, 300, 1000), range(0, len(rows), 800)):
+        own = {p for p in want if part <= p[0] < part + 800}
+        assert len(got & own) >= 0.99 * len(own), n
+        full = {p for p in own if p[0] >= part + 600}
+        assert len(got & full) >= 0.98 * len(full), n
+
+
+def test_shards_and_blocks_do_not_change_the_links(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/split_examples.parquet")
+    rows = overlap._normalised(df)
+    links = lambda **k: {(bytes(r.train), bytes(r.eval)) for r in overlap.class_links(rows, cover=False, **k).select("train", "eval").collect()}
+    one = links()
+    assert one and links(shard_records=37, block_records=50) == one
+    # brute force: the bounds over all pairs
+    texts = [(bytes(r.cls), r.ns, r.nt, r.is_train) for r in rows.dropDuplicates(["cls", "is_train"]).collect()]
+    trains, evals = [t for t in texts if t[3]], [(*t[:3], [], []) for t in texts if not t[3]]
+    shard = overlap.Shard(evals, 5 / 6)
+    every = np.divmod(np.arange(len(trains) * len(evals)), len(evals))
+    assert one == {(trains[i][0], evals[j][0]) for i, j, _, _ in shard.partners([t[1:3] for t in trains], every)}
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 8, 12])
+def test_window_keys(size):
+    rng = random.Random(size)
+    points = np.array([rng.choice([1, 2, 0x10FFFF]) for _ in range(3000)])
+    keys = overlap._window_keys(points, size)[: len(points) - size + 1]
+    windows = [tuple(points[i : i + size]) for i in range(len(keys))]
+    assert len(set(zip(windows, keys.tolist()))) == len(set(windows)) == len(set(keys.tolist()))
+
+
+def test_training_side_picks_what_the_evaluation_side_may_have():
+    rng = random.Random(3)
+    for n in (1, 2, 3, 6, 15, 16, 39, 40, 55, 250, 399, 400, 900):
+        text = "".join(rng.choices("abcdef", k=n))
+        own = {(b, k) for _, b, k in zip(*overlap.picks([text], 1))}
+        for m in {n, max(1, -(-n * 5 // 6)), n * 6 // 5}:
+            other = (text + "z" * m)[:m]
+            keys = set(overlap.picks([other], 1, training=True)[2].tolist())
+            size = min(int(overlap.picked_size(np.array(n))), n)
+            assert {k for b, k in own if b + size <= min(n, m)} <= keys
+            assert not n > 5 or own
