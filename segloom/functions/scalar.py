@@ -29,6 +29,11 @@ def hash_fraction(*cols: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 8), 16, 10).cast("bigint")
 
 
+def hash_60(*cols: Column) -> Column:
+    """A number below 2^60 from the md5 of the joined texts; the same in any SQL engine."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *cols)), 1, 15), 16, 10).cast("bigint")
+
+
 def first_words(text: Column, n: int | None) -> Column:
     """The first n pieces between single spaces; the text itself for null n."""
     if n is None:

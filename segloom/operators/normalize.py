@@ -5,25 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from segloom.functions.langs import spellings
+from segloom.functions.langs import looked_up
 
 
-def normalize_languages(df: DataFrame, *cols: str) -> DataFrame:
+def normalize_languages(df: DataFrame, *cols: str, names: DataFrame | None = None) -> DataFrame:
     """Replaces language labels in any spelling by English names; unknown labels stay.
 
-    One broadcast hash join for each column, on a table of fixed size.
+    One broadcast hash join for each column, on the table of languages `names` (or the short
+    list of `functions.langs`).
     """
-    lut = df.sparkSession.createDataFrame([(s, v[1]) for s, v in spellings().items()], "`__label` string, `__name` string")
     for c in cols or ("src_lang", "tgt_lang"):
-        label = F.lower(F.regexp_replace(F.col(c), r"^\s+|\s+$", ""))
-        key = F.when(label.rlike(r"^[a-z]{2,3}[-_][a-z0-9]{2,8}$"), F.regexp_extract(label, r"^([a-z]{2,3})", 1)).otherwise(label)
-        df = df.withColumn("__key", key).join(F.broadcast(lut), F.col("__key") == F.col("__label"), "left")
-        df = df.withColumn(c, F.coalesce("__name", c)).drop("__key", "__label", "__name")
+        df = looked_up(df, "__name", c, 1, names)
+        df = df.withColumn(c, F.coalesce("__name", c)).drop("__name")
     return df
 
 
-def examples(df: DataFrame, keep: list[str] | None = None) -> DataFrame:
+def examples(df: DataFrame, keep: list[str] | None = None, names: DataFrame | None = None) -> DataFrame:
     """Labelled examples: normalised languages, texts, finite score; other columns on request."""
     rows = df.where(F.col("src").isNotNull() & F.col("tgt").isNotNull())
     rows = rows.where(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") < float("inf")))
-    return normalize_languages(rows.select(*(keep or []), "src_lang", "tgt_lang", "src", "tgt", "score"))
+    return normalize_languages(rows.select(*(keep or []), "src_lang", "tgt_lang", "src", "tgt", "score"), names=names)

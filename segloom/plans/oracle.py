@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from segloom.functions.langs import spellings
 from segloom.operators.pairs import STEPS
 from segloom.schema import CRITERIA
 
-_LUT = "lut(k, name) as (values " + ", ".join(f"('{k}', '{v[1]}')" for k, v in sorted(spellings().items())) + ")"
+_LUT = "lut as (select distinct lower(k) as k, lang_name as name from (select unnest([lang_code, alpha3, alpha3_b, lang_name]) as k, lang_name from lang_names))"
 
 
 def _key(c: str) -> str:
@@ -31,6 +30,10 @@ def _score(salt: str, sample: str = "'0'", tgt: str = "tgt") -> str:
     return f"({_hash(f"'{salt}'", sample, "coalesce(src_lang, '')", "coalesce(tgt_lang, '')", "coalesce(src, '')", f"coalesce({tgt}, '')")} % 101)::int"
 
 
+def _hash_60(*parts: str) -> str:
+    return "('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 15))::bigint"
+
+
 def _k_pairs(k: int) -> str:
     count = "(n_candidates * (n_candidates - 1) // 2)"
     steps = "[" + ", ".join(f"{s}::bigint" for s in STEPS) + "]"
@@ -38,9 +41,9 @@ def _k_pairs(k: int) -> str:
       select *, row_number() over (partition by src_lang, tgt_lang, src order by seg_id) - 1 as idx,
         count(*) over (partition by src_lang, tgt_lang, src) as n_candidates
       from seg where src_lang is not null and tgt_lang is not null),
-    sources as (select src_lang, tgt_lang, src, {count} as cnt, {_hash("'42'", "src_lang", "tgt_lang", "src")} as draw from numbered where idx = 0 and n_candidates >= 2),
+    sources as (select src_lang, tgt_lang, src, {count} as cnt, {_hash_60("'42'", "src_lang", "tgt_lang", "src")} as draw, {_hash_60("'42step'", "src_lang", "tgt_lang", "src")} as other from numbered where idx = 0 and n_candidates >= 2),
     drawn as (
-      select src_lang, tgt_lang, src, (draw % cnt + t * ({steps}[(draw % {len(STEPS)} + 1)::int] % cnt)) % cnt as number
+      select src_lang, tgt_lang, src, (draw % cnt + t * ({steps}[(other % {len(STEPS)} + 1)::int] % cnt) % cnt) % cnt as number
       from sources, range({k}) r(t) where t < cnt),
     pairs as (
       select a.src_lang, a.tgt_lang, a.src, a.seg_id as id1, b.seg_id as id2, a.tgt as tgt1, b.tgt as tgt2, a.score as tgt1_score, b.score as tgt2_score

@@ -32,7 +32,7 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def segments(spark, folder, keep=("seg_id",)) -> DataFrame:
-    return examples(read(spark, folder, "segments"), list(keep))
+    return examples(read(spark, folder, "segments"), list(keep), names=read(spark, folder, "lang_names"))
 
 
 def scratch(spark, name: str) -> str:
@@ -51,7 +51,7 @@ def scan_jsonl(spark, folder):
 def scan_da(spark, folder):
     """Labelled examples of the raw lines: five fields, normalised languages."""
     parsed = parse_lines(read(spark, folder, "da_lines")).where("kind = 'ok' and src is not null and tgt is not null and score is not null")
-    return normalize_languages(parsed.select("line_id", *INPUT_COLS, "score"))
+    return normalize_languages(parsed.select("line_id", *INPUT_COLS, "score"), names=read(spark, folder, "lang_names"))
 
 
 def sink_roundtrip(spark, folder):
@@ -82,7 +82,8 @@ def stream_scores(spark, folder):
 
 
 def normalize_lang(spark, folder):
-    return normalize_languages(read(spark, folder, "segments").select("src_lang", "tgt_lang")).groupBy("src_lang", "tgt_lang").agg(F.count("*").alias("n"))
+    labels = read(spark, folder, "segments").select("src_lang", "tgt_lang")
+    return normalize_languages(labels, names=read(spark, folder, "lang_names")).groupBy("src_lang", "tgt_lang").agg(F.count("*").alias("n"))
 
 
 def validate_schema(spark, folder):
@@ -117,7 +118,7 @@ def clip_scores(spark, folder):
 
 
 def group_sources(spark, folder):
-    return pairs.group_sizes(segments(spark, folder))
+    return pairs.group_sizes(segments(spark, folder), ordered=True)
 
 
 def group_filter(spark, folder):

@@ -50,6 +50,28 @@ def test_k_pairs_of_a_hot_source(spark):
     assert len({(r.id1, r.id2) for r in every}) == 190
 
 
+def test_draw_of_a_large_source(spark):
+    """Two hashes of 60 bits: of a million candidates the late ones are drawn as well, and the
+    numbers of the pairs stay different and in range."""
+    groups = spark.range(200).select(F.lit("English").alias("src_lang"), F.lit("German").alias("tgt_lang"), F.col("id").cast("string").alias("src"), F.lit(1_000_000).cast("bigint").alias("n_candidates"))
+    got = pairs._drawn(groups, 8, 42).collect()
+    assert len({(r.src, r.i, r.j) for r in got}) == 1600 and all(0 <= r.i < r.j < 1_000_000 for r in got)
+    late = sum(r.j >= 500_000 for r in got) / len(got)
+    assert 0.65 < late < 0.85  # three quarters of all pairs
+
+
+def test_gathered_and_numbered_sources_draw_alike(spark):
+    rows = spark.range(300).select(F.col("id").alias("seg_id"), F.lit("English").alias("src_lang"), F.lit("German").alias("tgt_lang"), (F.col("id") % 7).cast("string").alias("src"), F.col("id").cast("string").alias("tgt"), F.col("id").cast("double").alias("score"))
+    one, two = (sorted(tuple(r) for r in pairs.k_pairs(rows, 5, gathered=n).collect()) for n in (1000, 42))
+    assert one == two and len(one) == 35
+
+
+def test_sequential_draw_refuses_too_many(spark, monkeypatch, two_sources):
+    monkeypatch.setattr(pairs, "MOST_SEQUENTIAL", 3)
+    with pytest.raises(ValueError, match="too many"):
+        pairs.sequential_pairs(examples(two_sources, ["seg_id"]), 2)
+
+
 def test_numbered(spark):
     rows = spark.range(500).select(F.col("id").alias("seg_id"), F.lit("a").alias("src_lang"), F.lit("b").alias("tgt_lang"), (F.col("id") % 3).cast("string").alias("src"))
     got = pairs.numbered(rows).collect()
@@ -80,6 +102,17 @@ def test_unknown_labels_stay(spark):
     assert (got.src_lang, got.tgt_lang) == ("xx", None)
 
 
+def test_languages_of_a_table(spark):
+    """A table of languages takes the place of the list; a language may lack a two-letter code."""
+    names = spark.createDataFrame([("sv", "swe", "swe", "Swedish"), (None, "haw", "haw", "Hawaiian")], "lang_code string, alpha3 string, alpha3_b string, lang_name string")
+    rows = segs(spark, [(1, "SV-se", " haw", "a", "b", 1.0, ""), (2, "swedish", "de", "a", "b", 1.0, "")])
+    got = sorted((r.seg_id, r.src_lang, r.tgt_lang) for r in normalize_languages(rows, names=names).collect())
+    assert got == [(1, "Swedish", "Hawaiian"), (2, "Swedish", "de")]
+    many = spark.range(20_001).selectExpr("string(id) lang_code", "'x' alpha3", "'x' alpha3_b", "'x' lang_name")
+    with pytest.raises(ValueError, match="at most"):
+        normalize_languages(rows, names=many)
+
+
 HOSTILE = ["", "   ", "null", "[1,2]", '"text"', "{bad", '{"src":"a","tgt":"b","src_lang":"en","tgt_lang":"de","score":1,"score":"80"}', '{"src":"007","tgt":null,"score":NaN}', "{'src':'a','score':1}", '{"src":"a","tgt":"b","src_lang":"en","tgt_lang":"de","score":true,"date":"2024-01-01"}']
 
 
