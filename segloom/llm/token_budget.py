@@ -19,6 +19,13 @@ from segloom.llm import tokenizers as T
 from segloom.util import table
 
 
+#: Pairs of neighbours that a task remembers.
+MOST_PAIRS = 1 << 20
+#: Keys that the rows of texts, which look up no piece, are spread over. No UTF-8 text has
+#: their first byte, so they match no piece.
+SPREAD = np.array([b"\xff" + i.to_bytes(2, "big") for i in range(1 << 12)], object)
+
+
 class PrefixStates:
     """Exact incremental tokenization along pieces in sorted order."""
 
@@ -33,6 +40,8 @@ class PrefixStates:
     def neighbours(self, a: int, b: int) -> bool:
         known = self.pair.get((a, b))
         if known is None:
+            if len(self.pair) >= MOST_PAIRS:  # a bound on memory; results don't depend on it
+                self.pair.clear()
             known = self.pair[a, b] = self.encode(self.text[a] + self.text[b]) == [a, b]
         return known
 
@@ -101,16 +110,17 @@ def _parts(df: DataFrame, keep: list[str], text_cols: list[str], vocab: str, voc
                     # one row for each text, then one for each occurrence of a rare piece
                     at = np.concatenate([np.arange(len(column)), row[rare]])
                     piece = T.gather(data, offsets[:-1][rare], np.diff(offsets)[rare])
-                    piece = pa.concat_arrays([pa.nulls(len(column), pa.binary()), piece])
+                    piece = pa.concat_arrays([pa.array(SPREAD[np.random.randint(0, len(SPREAD), len(column))], pa.binary()), piece])
                     n = np.concatenate([total, np.ones(len(rare), np.int64)])
                     present = pa.concat_arrays([column.is_valid(), pa.nulls(len(rare), pa.bool_()).fill_null(False)])
                     taken = [c.take(pa.array(at)) for c in part.columns[:width]]
-                    yield pa.RecordBatch.from_arrays([*taken, pa.array(np.full(len(at), name)), present, piece, pa.array(n)], [*[f"k{i}" for i in range(width)], "field", "present", "piece", "n"])
+                    is_text = pa.array(np.arange(len(at)) < len(column))
+                    yield pa.RecordBatch.from_arrays([*taken, pa.array(np.full(len(at), name)), is_text, present, piece, pa.array(n)], [*[f"k{i}" for i in range(width)], "field", "is_text", "present", "piece", "n"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields[:width])
-    parts = texts.mapInArrow(run, f"{schema}, field string, present boolean, piece binary, n bigint")
+    parts = texts.mapInArrow(run, f"{schema}, field string, is_text boolean, present boolean, piece binary, n bigint")
     joined = parts.join(known.select("piece", F.col("n_tokens").alias("each")), "piece", "left")
-    return joined.select(*[f"k{i}" for i in range(width)], "field", (F.col("piece").isNull() & F.col("present")).alias("whole"), F.when(F.col("piece").isNull(), F.col("n")).otherwise(F.col("n") * F.col("each")).alias("n"))
+    return joined.select(*[f"k{i}" for i in range(width)], "field", (F.col("is_text") & F.col("present")).alias("whole"), F.when(F.col("is_text"), F.col("n")).otherwise(F.col("n") * F.col("each")).alias("n"))
 
 
 def text_tokens(df: DataFrame, id_col: str = "seg_id", text_cols: tuple[str, ...] = ("src", "tgt"), vocab: str = T.DEFAULT, vocab_dir: str = T.VOCAB_DIR) -> DataFrame:
@@ -119,7 +129,7 @@ def text_tokens(df: DataFrame, id_col: str = "seg_id", text_cols: tuple[str, ...
     Null and empty texts have 0 tokens; rows with the same id are added up by field, so ids
     should be unique. Frequent pieces (at most 65,536, by their share of all) are counted where
     the text is read; only occurrences of rare pieces are shuffled, and none of those is a hot
-    key. Other columns may have any names.
+    key; the rows of the texts themselves are spread over keys of their own. Other columns may have any names.
     """
     parts = _parts(df, [id_col], list(text_cols), vocab, vocab_dir)
     return parts.groupBy(F.col("k0").alias(id_col), F.col("field").alias("field_name")).agg(F.sum("n").alias("n_tokens"))
