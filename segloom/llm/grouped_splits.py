@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from segloom.functions.langs import with_label_codes
+from segloom.functions.langs import entity_of, with_label_codes
 from segloom.util import blank, cut, digest, strip, table
 
 #: Components with at least this share of all rows are placed first, together (at most
@@ -50,22 +50,23 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _keyed(df: DataFrame, id_col: str, doc_col: str, src_col: str, lang_col: str) -> DataFrame:
+def _keyed(df: DataFrame, id_col: str, doc_col: str, src_col: str, lang_col: str, names: DataFrame | None) -> DataFrame:
     rows = df.select(F.col(id_col).alias("id"), F.col(doc_col).alias("doc"), F.col(src_col).alias("src"), F.col(lang_col).alias("label"))
-    rows = with_label_codes(rows, code="label")
-    named = F.col("code").isNotNull() & ~blank(F.col("src"))
-    return rows.select("id", "doc", F.when(named, digest(F.col("code"), strip(F.col("src")))).alias("fp"))
+    rows = with_label_codes(rows, names, code="label").withColumn("lang", entity_of(F.col("code"), "label"))
+    named = F.col("lang").isNotNull() & ~blank(F.col("src"))
+    return rows.select("id", "doc", F.when(named, digest(F.col("lang"), strip(F.col("src")))).alias("fp"))
 
 
-def groups(df: DataFrame, id_col: str = "seg_id", doc_col: str = "doc_key", src_col: str = "src", lang_col: str = "src_lang") -> DataFrame:
+def groups(df: DataFrame, id_col: str = "seg_id", doc_col: str = "doc_key", src_col: str = "src", lang_col: str = "src_lang", names: DataFrame | None = None) -> DataFrame:
     """Every row with its group: (id, group_key binary, group_doc, n_rows).
 
     group_key is the same exactly for the rows of one group, group_doc the least document of
     the group (null if it has none), n_rows the number of its rows. A null document, a null or
     blank source text, and a source text whose label names no language link nothing, so a row
-    may be a group of its own. Ids should be unique; repeated rows each get their row.
+    may be a group of its own. Languages are those of the table `names`; a label that isn't in
+    it, but isn't a placeholder like `und` either, equals only itself. Ids should be unique; repeated rows each get their row.
     """
-    rows = table(_keyed(df, id_col, doc_col, src_col, lang_col), "keyed")
+    rows = table(_keyed(df, id_col, doc_col, src_col, lang_col, names), "keyed")
     pairs = table(rows.where("doc is not null or fp is not null").groupBy("doc", "fp").agg(F.count("*").alias("n")), "pairs")
     # a text links its documents to the least of them
     texts = pairs.where("fp is not null").groupBy("fp").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"))
@@ -87,9 +88,9 @@ def groups(df: DataFrame, id_col: str = "seg_id", doc_col: str = "doc_key", src_
     return with_doc.unionByName(with_text).unionByName(single).withColumnRenamed("id", id_col)
 
 
-def related_rows(df: DataFrame) -> DataFrame:
+def related_rows(df: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """(seg_id, group_doc) of each row that has another row in its group."""
-    return groups(df).where("n_rows > 1").select("seg_id", "group_doc")
+    return groups(df, names=names).where("n_rows > 1").select("seg_id", "group_doc")
 
 
 def stratify(components: list[tuple[dict[int, int], int]], want: dict[int, list[float]], room: list[float]) -> list[int]:
@@ -130,7 +131,7 @@ def stratify(components: list[tuple[dict[int, int], int]], want: dict[int, list[
     return result
 
 
-def assign_splits(df: DataFrame, shares: list[tuple[str, float]], id_col: str = "seg_id", heavy_share: float = HEAVY_SHARE, shard_components: int = SHARD_COMPONENTS) -> DataFrame:
+def assign_splits(df: DataFrame, shares: list[tuple[str, float]], id_col: str = "seg_id", heavy_share: float = HEAVY_SHARE, shard_components: int = SHARD_COMPONENTS, names: DataFrame | None = None) -> DataFrame:
     """(`id_col`, split_name, group_doc): rows of one group get one split.
 
     Labels to be balanced are the pair of languages and the domain (hashed to 64 values), so
@@ -142,9 +143,9 @@ def assign_splits(df: DataFrame, shares: list[tuple[str, float]], id_col: str =
     total_share = sum(s for _, s in shares)
     if not shares or any(s is None or s < 0 for _, s in shares) or total_share <= 0:
         raise ValueError("shares must not be negative and must not all be 0")
-    names, parts = [n for n, _ in shares], [s / total_share for _, s in shares]
-    member = table(groups(df, id_col), "members")
-    labels = with_label_codes(df.select(F.col(id_col).alias("id"), "src_lang", "tgt_lang", "text_domain"), a="src_lang", b="tgt_lang")
+    splits, parts = [n for n, _ in shares], [s / total_share for _, s in shares]
+    member = table(groups(df, id_col, names=names), "members")
+    labels = with_label_codes(df.select(F.col(id_col).alias("id"), "src_lang", "tgt_lang", "text_domain"), names, a="src_lang", b="tgt_lang")
     pair = F.abs(F.hash(F.lit("pair"), F.coalesce("a", F.lit("")), F.coalesce("b", F.lit(""))).cast("bigint")) % 4096
     domain = 4096 + F.pmod(F.xxhash64(F.coalesce("text_domain", F.lit(""))), F.lit(DOMAIN_LABELS))
     # one row for each row of the table: ids are unique, so this join has no hot key
@@ -172,11 +173,11 @@ def assign_splits(df: DataFrame, shares: list[tuple[str, float]], id_col: str =
         want_ = {label: [n * q for q in ratio[label]] for label, n in totals.items()}
         all_rows = sum(n for _, n in parts_)
         split = stratify(parts_, want_, [all_rows * q for q in room_ratio])
-        return pd.DataFrame({"group_key": rows["group_key"], "split_name": [names[s] for s in split]})
+        return pd.DataFrame({"group_key": rows["group_key"], "split_name": [splits[s] for s in split]})
 
     light = vectors.where(F.col("n_rows") < edge).withColumn("shard", F.pmod(F.xxhash64("group_key"), F.lit(shards)))
     chosen = light.groupBy("shard").applyInPandas(run, "group_key binary, split_name string")
-    fixed = df.sparkSession.createDataFrame([(bytearray(r.group_key), names[s]) for r, s in zip(heavy, placed)], "group_key binary, split_name string")
+    fixed = df.sparkSession.createDataFrame([(bytearray(r.group_key), splits[s]) for r, s in zip(heavy, placed)], "group_key binary, split_name string")
     big = member.where(F.col("n_rows") >= edge).join(F.broadcast(fixed), "group_key")
     small = member.where(F.col("n_rows") < edge).join(chosen, "group_key")
     return big.unionByName(small).select(id_col, "split_name", "group_doc")
@@ -188,9 +189,9 @@ def _open(left: list[float], parts: list[float]) -> list[float]:
     return [x / sum(rest) for x in rest] if sum(rest) > 0 else list(parts)
 
 
-def split_report(df: DataFrame, shares: list[tuple[str, float]]) -> DataFrame:
+def split_report(df: DataFrame, shares: list[tuple[str, float]], names: DataFrame | None = None) -> DataFrame:
     """By split: number of rows, share of all rows, and the share asked for."""
-    got = assign_splits(df, shares).groupBy("split_name").agg(F.count("*").alias("n_rows"))
+    got = assign_splits(df, shares, names=names).groupBy("split_name").agg(F.count("*").alias("n_rows"))
     asked = df.sparkSession.createDataFrame([(n, float(s)) for n, s in shares], "split_name string, split_share double")
     rows = F.broadcast(asked).join(got, "split_name", "left").select("split_name", "split_share", F.coalesce("n_rows", F.lit(0)).alias("n_rows"))
     total = F.sum("n_rows").over(Window.partitionBy(F.lit(0)))  # one row for each split

@@ -227,9 +227,9 @@ def _add_up(scores: np.ndarray, at: np.ndarray, owner: np.ndarray, weight: np.nd
     return out
 
 
-def _texts(df: DataFrame, id_col: str) -> DataFrame:
+def _texts(df: DataFrame, id_col: str, names: DataFrame | None = None) -> DataFrame:
     """(id, field, label code, text) of src and tgt that aren't blank."""
-    rows = with_label_codes(df.select(F.col(id_col).alias("id"), "src_lang", "tgt_lang", "src", "tgt"), a="src_lang", b="tgt_lang")
+    rows = with_label_codes(df.select(F.col(id_col).alias("id"), "src_lang", "tgt_lang", "src", "tgt"), names, a="src_lang", b="tgt_lang")
     pairs = F.array(F.struct(F.lit("src").alias("field"), F.col("a").alias("code"), F.col("src").alias("text")), F.struct(F.lit("tgt").alias("field"), F.col("b").alias("code"), F.col("tgt").alias("text")))
     return rows.select("id", F.explode(pairs).alias("x")).select("id", "x.field", "x.code", "x.text").where(~blank(F.col("text")))
 
@@ -290,7 +290,7 @@ def _wrong(code: str | None, found) -> list[tuple[str]]:
     return [(lang,) for lang in langs] if len(langs) > 1 or (langs and code != langs[0]) else []
 
 
-def text_languages(df: DataFrame, id_col: str = "seg_id") -> DataFrame:
+def text_languages(df: DataFrame, id_col: str = "seg_id", names: DataFrame | None = None) -> DataFrame:
     """Each stretch of one language in src and tgt, with a confidence.
 
     Columns `id_col`, field_name, part (0..), begin and length (in characters), lang,
@@ -298,15 +298,15 @@ def text_languages(df: DataFrame, id_col: str = "seg_id") -> DataFrame:
     stretch with a null language and confidence 0; null and blank texts have no row.
     """
     parts = lambda code, found: [(k, a, b - a, lang, p) for k, (a, b, lang, p) in enumerate(found)]
-    out = _label(_texts(df, id_col), parts, "part int, begin int, length int, lang string, confidence double")
+    out = _label(_texts(df, id_col, names), parts, "part int, begin int, length int, lang string, confidence double")
     return out.select(F.col("id").alias(id_col), F.col("field").alias("field_name"), "part", "begin", "length", "lang", "confidence")
 
 
-def wrong_labels(df: DataFrame, id_col: str = "seg_id") -> DataFrame:
+def wrong_labels(df: DataFrame, id_col: str = "seg_id", names: DataFrame | None = None) -> DataFrame:
     """(`id_col`, field_name, lang): the languages of each text whose label doesn't hold.
 
     A text is given if its label is missing or names no language, names another one than the
     text's, or the text has sentences of two languages; one row for each of its languages.
     """
-    out = _label(_texts(df, id_col), _wrong, "lang string")
+    out = _label(_texts(df, id_col, names), _wrong, "lang string")
     return out.select(F.col("id").alias(id_col), F.col("field").alias("field_name"), "lang")

@@ -26,17 +26,17 @@ def _capacities(spark, folder) -> list[tuple[str, int]]:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     read = _read
     return {
-        "p1_found": lambda s, d: grouped_splits.related_rows(read(s, d, "segments")),
-        "p1_splits": lambda s, d: grouped_splits.assign_splits(read(s, d, "segments"), _shares(s, d)),
-        "p1_report": lambda s, d: grouped_splits.split_report(read(s, d, "segments"), _shares(s, d)),
+        "p1_found": lambda s, d: grouped_splits.related_rows(read(s, d, "segments"), names=read(s, d, "lang_names")),
+        "p1_splits": lambda s, d: grouped_splits.assign_splits(read(s, d, "segments"), _shares(s, d), names=read(s, d, "lang_names")),
+        "p1_report": lambda s, d: grouped_splits.split_report(read(s, d, "segments"), _shares(s, d), names=read(s, d, "lang_names")),
         "p2_found": lambda s, d: truncation_model.cut_fields(read(s, d, "segments")),
         "p2_report": lambda s, d: truncation_model.cut_report(read(s, d, "segments")),
-        "p3_budget": lambda s, d: token_budget.token_budget(read(s, d, "segments")),
+        "p3_budget": lambda s, d: token_budget.token_budget(read(s, d, "segments"), names=read(s, d, "lang_names")),
         "p3_texts": lambda s, d: token_budget.text_tokens(read(s, d, "segments")),
         "p4_found": lambda s, d: mojibake.garbled_fields(read(s, d, "segments")),
         "p4_restored": lambda s, d: mojibake.restored_fields(read(s, d, "segments")),
-        "p5_found": lambda s, d: langid.wrong_labels(read(s, d, "segments")),
-        "p5_stretches": lambda s, d: langid.text_languages(read(s, d, "segments")),
+        "p5_found": lambda s, d: langid.wrong_labels(read(s, d, "segments"), names=read(s, d, "lang_names")),
+        "p5_stretches": lambda s, d: langid.text_languages(read(s, d, "segments"), names=read(s, d, "lang_names")),
         "p6_found": lambda s, d: collapse.copies(read(s, d, "da_lines")),
         "p6_records": lambda s, d: collapse.distinct_records(read(s, d, "da_lines")),
         "p7_found": lambda s, d: overlap.split_overlaps(read(s, d, "split_examples")),
@@ -45,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p8_ids": lambda s, d: corpus_encode.encode_corpus(read(s, d, "documents")),
         "p9_containers": lambda s, d: packing.fill_containers(read(s, d, "documents"), _capacities(s, d)),
         "p10_found": lambda s, d: visual_form.look_alike_pairs(read(s, d, "documents")),
+        "p10_classes": lambda s, d: visual_form.look_alike_classes(read(s, d, "documents")),
         "p10_texts": lambda s, d: visual_form.consistent_texts(read(s, d, "documents")),
         "p10_report": lambda s, d: visual_form.spelling_report(read(s, d, "documents")),
     }

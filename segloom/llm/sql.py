@@ -4,17 +4,18 @@ The others are tokenizers, models, automata and code-point tables; their tests h
 against brute force, round trips or held-out accuracy.
 """
 
-from segloom.functions.langs import spellings
-
-_LUT = "lut(k, code) as (values " + ", ".join(f"('{k}', '{v[0]}')" for k, v in sorted(spellings().items())) + ")"
+_LUT = "lut as (select distinct lower(k) as k, lang_code as code from (select unnest([lang_code, alpha3, alpha3_b, lang_name]) as k, lang_code from lang_names))"
+#: Labels that name no language; others that aren't in the table equal themselves.
+_PLACEHOLDERS = "('', '?', '-', 'xx', 'n/a', 'na', 'none', 'null', 'unknown', 'und', 'undetermined', 'mis', 'mul', 'zxx', 'other')"
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 _LABEL = f"lower({_STRIP.format('src_lang')})"
 
 _P1 = f"""with recursive {_LUT},
 labelled as (select *, {_LABEL} as label, {_STRIP.format('src')} as text from segments),
+plain as (select *, case when regexp_full_match(label, '[a-z]{{2,3}}[-_][a-z0-9]{{2,8}}') then regexp_extract(label, '^([a-z]{{2,3}})', 1) else label end as bare from labelled),
 keyed as (
-  select seg_id, doc_key, case when code is not null and text <> '' then code || chr(31) || text end as fp
-  from labelled left join lut on k = case when regexp_full_match(label, '[a-z]{{2,3}}[-_][a-z0-9]{{2,8}}') then regexp_extract(label, '^([a-z]{{2,3}})', 1) else label end),
+  select seg_id, doc_key, case when text <> '' then coalesce(code, case when bare not in {_PLACEHOLDERS} and regexp_matches(bare, '\\p{{L}}') then '?' || bare end) || chr(31) || text end as fp
+  from plain left join lut on k = bare),
 texts as (select fp, min(doc_key) as d0 from keyed where fp is not null group by fp),
 star as (select distinct doc_key as u, d0 as v from keyed join texts using (fp) where doc_key is not null),
 edges as (select u, v from star union select v, u from star),

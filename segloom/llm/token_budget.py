@@ -135,14 +135,14 @@ def text_tokens(df: DataFrame, id_col: str = "seg_id", text_cols: tuple[str, ...
     return parts.groupBy(F.col("k0").alias(id_col), F.col("field").alias("field_name")).agg(F.sum("n").alias("n_tokens"))
 
 
-def token_budget(df: DataFrame, vocab: str = T.DEFAULT, vocab_dir: str = T.VOCAB_DIR) -> DataFrame:
+def token_budget(df: DataFrame, names: DataFrame | None = None, vocab: str = T.DEFAULT, vocab_dir: str = T.VOCAB_DIR) -> DataFrame:
     """Totals by source, language and domain of src and tgt.
 
     Columns origin, field_name, lang (code of the label of the field's side, null if it names
-    no language), text_domain, n_texts (not null), n_tokens. Null origins and domains are
+    no language of the table `names`), text_domain, n_texts (not null), n_tokens. Null origins and domains are
     slices of their own; null texts count for no text and no token.
     """
-    coded = with_label_codes(df.select("origin", "text_domain", "src_lang", "tgt_lang", "src", "tgt"), src_code="src_lang", tgt_code="tgt_lang")
+    coded = with_label_codes(df.select("origin", "text_domain", "src_lang", "tgt_lang", "src", "tgt"), names, src_code="src_lang", tgt_code="tgt_lang")
     parts = _parts(coded, ["origin", "text_domain", "src_code", "tgt_code"], ["src", "tgt"], vocab, vocab_dir)
     lang = F.when(F.col("field") == "src", F.col("k2")).otherwise(F.col("k3"))
     return parts.groupBy(F.col("k0").alias("origin"), F.col("field").alias("field_name"), lang.alias("lang"), F.col("k1").alias("text_domain")).agg(

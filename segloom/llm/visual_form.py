@@ -4,6 +4,10 @@ A batch of texts is exploded to positioned code points (one row of three columns
 position, code point, held as arrays), joined with the broadcast tables of decompositions and
 look-alikes (a lookup by code point; the tables have one entry for each code point at most),
 ordered by combining class after each base, recomposed, and rebuilt to strings.
+
+There are two forms. The look is a key: letters of all scripts that look alike are one. The
+text form keeps the script of a word: a letter of another script is replaced only inside a word
+(or beside words) whose other letters say which script it is in.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from segloom.llm import tokenizers as T
+from segloom.util import table
 
 #: Letters of other scripts that look like Latin ones, and signs that look alike.
 LOOK_ALIKES = {
@@ -28,7 +33,7 @@ LOOK_ALIKES = {
     "ο": "o", "ν": "v", "α": "a", "ι": "i", "ρ": "p", "γ": "y", "υ": "u", "κ": "к", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O",
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "Γ": "Г",
-    "ı": "i", "ɑ": "a", "ɡ": "g", "ӕ": "æ", "Ӕ": "Æ", "Ð": "Đ", "Ɖ": "Đ", "ԑ": "ɛ", "ε": "ɛ", "ӡ": "ʒ",
+    "ɑ": "a", "ɡ": "g", "ӕ": "æ", "Ӕ": "Æ", "Ð": "Đ", "Ɖ": "Đ", "ԑ": "ɛ", "ε": "ɛ", "ӡ": "ʒ",
     "‐": "-", "‑": "-", "﹣": "-", "ʼ": "’", "՚": "’", "ꞌ": "'", "∶": ":", "։": ":", "꞉": ":", "ː": ":",
     "⁄": "/", "∕": "/", "․": ".", "‥": "..", "…": "...", "µ": "μ", "Ω": "Ω", "℃": "°C", "℉": "°F", "ſ": "s",
 }
@@ -44,18 +49,31 @@ VISIBLE_FORMAT = ((0x0600, 0x0605), (0x06DD, 0x06DD), (0x070F, 0x070F), (0x08E2,
 UNSEEN = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFFA0, 0xFFA0), (0xE0100, 0xE01EF))
 
 
+#: Scripts whose letters are told apart, by the first word of a letter's name.
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
+
+
 def _within(c: int, ranges) -> bool:
     return any(a <= c <= b for a, b in ranges)
 
 
+def _script(ch: str) -> int:
+    """1.. for a letter of one of SCRIPTS, else 0."""
+    if unicodedata.category(ch)[0] != "L":
+        return 0
+    first = unicodedata.name(ch, "").partition(" ")[0]
+    return SCRIPTS.index(first) + 1 if first in SCRIPTS else 0
+
+
 @functools.lru_cache(maxsize=None)
-def _spell(ch: str) -> str:
-    """Full decomposition of one character into the basic characters of its look."""
+def _spell(ch: str, keep: bool = False) -> str:
+    """Full decomposition of one character into the basic characters of its look; `keep` leaves
+    letters of the scripts what they are."""
     c = ord(ch)
     if _within(c, UNSEEN) or (unicodedata.category(ch) == "Cf" and not _within(c, VISIBLE_FORMAT)):
         return ""
-    if ch in LOOK_ALIKES and LOOK_ALIKES[ch] != ch:
-        return "".join(_spell(x) for x in LOOK_ALIKES[ch])
+    if ch in LOOK_ALIKES and LOOK_ALIKES[ch] != ch and not (keep and _script(ch) and ch != "µ"):
+        return "".join(_spell(x, keep) for x in LOOK_ALIKES[ch])
     if unicodedata.category(ch) == "Zs":
         return " "
     if 0xAC00 <= c <= 0xD7A3:
@@ -63,12 +81,83 @@ def _spell(ch: str) -> str:
     kind, _, rest = unicodedata.decomposition(ch).rpartition("> ")
     kind = kind and kind + ">"
     if rest and (not kind or kind in SAME_LOOK or (kind == "<compat>" and _within(c, LIGATURES))):
-        return "".join(_spell(chr(int(x, 16))) for x in rest.split())
+        return "".join(_spell(chr(int(x, 16)), keep) for x in rest.split())
     return ch
 
 
 @functools.lru_cache(maxsize=1)
-def tables():
+def script_tables():
+    """Script of each code point; its script again if no other script has its look; whether it
+    is upper case; and for each script the letter of that script with the same look."""
+    script = np.zeros(0x110000, np.uint8)
+    upper = np.zeros(0x110000, bool)
+    for c in range(0x20000):
+        if s := _script(chr(c)):
+            script[c], upper[c] = s, unicodedata.category(chr(c)) == "Lu"
+    looks: dict[str, dict[int, str]] = {}
+    for a, b in LOOK_ALIKES.items():
+        if len(b) == 1 and _script(a):
+            while b in LOOK_ALIKES and LOOK_ALIKES[b] != b:
+                b = LOOK_ALIKES[b]
+            own = looks.setdefault(b, {_script(b): b})
+            own.setdefault(_script(a), a)
+    clear = script.copy()
+    to = np.tile(np.arange(0x110000, dtype=np.uint32), (len(SCRIPTS) + 1, 1))
+    for a in {*LOOK_ALIKES, *looks}:
+        look = a
+        while look in LOOK_ALIKES and LOOK_ALIKES[look] != look:
+            look = LOOK_ALIKES[look]
+        if _script(a) and len(looks.get(look, {})) > 1:
+            clear[ord(a)] = 0
+            for s, letter in looks[look].items():
+                to[s, ord(a)] = ord(letter)
+    return script, clear, upper, to
+
+
+def _before(known: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """For each word the last known value of its text up to it, 0 if there is none."""
+    at = np.maximum.accumulate(np.where(known > 0, np.arange(len(known)), -1))
+    return np.where((at >= 0) & (text[at] == text), known[at], 0)
+
+
+def one_script(points: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Decomposed code points with the look-alikes of other scripts replaced.
+
+    A word's script is that of its letters that look like no other script's (the most frequent
+    one, ties to the first of SCRIPTS). A word without such letters follows the word before it,
+    or the next one, unless it is an abbreviation (several capitals). None of this looks at
+    the letters that may be replaced, so it is the same however they are spelled.
+    """
+    script, clear, upper, to = script_tables()
+    own = script[points]
+    if len(np.unique(own[own > 0])) < 2:
+        return points
+    mark = tables()[3]
+    inside = (own > 0) | (mark[points] > 0)
+    new = inside.copy()
+    new[1:] &= ~inside[:-1] | (text[1:] != text[:-1])
+    at = np.flatnonzero(inside)
+    word = (np.cumsum(new) - 1)[at]
+    n = int(new.sum())
+    of = text[np.flatnonzero(new)]
+    width = len(SCRIPTS) + 1
+    sure = np.bincount(word * width + clear[points[at]], minlength=n * width).reshape(n, width)[:, 1:]
+    known = np.where(sure.any(axis=1), sure.argmax(axis=1) + 1, 0)
+    beside = _before(known, of)
+    later = _before(known[::-1], of[::-1])[::-1]
+    capitals = np.bincount(word, upper[points[at]], n)
+    known = np.where((known > 0) | (capitals >= 2), known, np.where(beside > 0, beside, later))
+    target = known[word]
+    wrong = (target > 0) & (own[at] > 0) & (own[at] != target)
+    if not wrong.any():
+        return points
+    points = points.copy()
+    points[at[wrong]] = to[target[wrong], points[at[wrong]]]
+    return points
+
+
+@functools.lru_cache(maxsize=2)
+def tables(keep: bool = False):
     """(length of each spelling, its begin, all spellings, combining classes, pairs, composites)."""
     size = np.ones(0x110000, np.uint8)
     begin = np.zeros(0x110000, np.int32)
@@ -80,7 +169,7 @@ def tables():
         if unicodedata.category(ch) in ("Cn", "Cs", "Co"):
             continue
         mark[c] = unicodedata.combining(ch)
-        if (s := _spell(ch)) != ch:
+        if (s := _spell(ch, keep)) != ch:
             size[c], begin[c] = len(s), len(flat)
             flat.extend(map(ord, s))
         d = unicodedata.normalize("NFD", ch)
@@ -100,9 +189,10 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(pairs[at] == key, composites[at], 0)
 
 
-def consistent(points: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points and their text numbers (rising) in the consistent form."""
-    size, begin, flat, mark, *_ = tables()
+def consistent(points: np.ndarray, text: np.ndarray, keep: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Code points and their text numbers (rising) in the form of their look, or with `keep` in
+    the text form."""
+    size, begin, flat, mark, *_ = tables(keep)
     changed = begin[points] > 0
     if changed.any():
         n = size[points].astype(np.int64)
@@ -115,6 +205,8 @@ def consistent(points: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.nda
         points[mapped] = flat[(begin[source[mapped]] + inside[mapped])]
     if not len(points):
         return points, text
+    if keep:
+        points = one_script(points, text)
     order = mark[points]
     if not order.any():
         return _join_starters(points, text)
@@ -172,12 +264,12 @@ def _join_starters(points: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np
     return points, text
 
 
-def canonical_column(col: pa.Array) -> pa.Array:
-    """Consistent form of each text; null stays null."""
+def canonical_column(col: pa.Array, keep: bool = False) -> pa.Array:
+    """The look of each text, or with `keep` its text form; null stays null."""
     data, offsets = T.text_buffers(col)
     points, _, text_offsets = T.code_points(data, offsets)
     text = np.repeat(np.arange(len(col)), np.diff(text_offsets))
-    points, text = consistent(points, text)
+    points, text = consistent(points, text, keep)
     raw = points.astype("<u4").tobytes().decode("utf-32-le").encode("utf-8")
     lead = np.flatnonzero((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
     ends = np.append(lead, len(raw))[np.searchsorted(text, np.arange(len(col) + 1))]
@@ -190,35 +282,50 @@ def canonical_column(col: pa.Array) -> pa.Array:
 
 
 def consistent_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(`id_col`, text in its consistent form); null texts stay null, other columns are ignored."""
+    """(`id_col`, text in its consistent form, look); null texts stay null, other columns are
+    ignored.
+
+    The text form is meant to be read and trained on: words of one script stay in it. `look` is
+    a key that is equal exactly for texts that look the same, for comparisons; null for a text
+    without anything to see.
+    """
 
     def run(batches):
         for batch in batches:
             for part in T.slices(batch, ["text"]):
-                yield pa.RecordBatch.from_arrays([part.column(0), canonical_column(part.column(1))], ["id", "text"])
+                col = part.column(1)
+                yield pa.RecordBatch.from_arrays([part.column(0), canonical_column(col, keep=True), pa.array(_looks(col), pa.binary())], ["id", "text", "look"])
 
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, text string").select(F.col("id").alias(id_col), F.col("text").alias(text_col))
+    return texts.mapInArrow(run, f"id {kind}, text string, look binary").select(F.col("id").alias(id_col), F.col("text").alias(text_col), "look")
+
+
+def _hash16(raw: bytes) -> bytes:
+    return hashlib.blake2b(raw, digest_size=16).digest()
+
+
+def _looks(col: pa.Array) -> list[bytes | None]:
+    """Digest of the look of each text, None for null, empty and blank ones."""
+    form = canonical_column(col).cast(pa.binary()).to_pylist()
+    return [_hash16(f) if f is not None and f and not f.decode().isspace() else None for f in form]
 
 
 def _digests(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, look, raw) of the texts with something to see, written once."""
+
     def run(batches):
-        hash16 = lambda x: hashlib.blake2b(x, digest_size=16).digest()
         for batch in batches:
             for part in T.slices(batch, ["text"]):
                 col = part.column(1)
-                form = canonical_column(col)
-                form = form.cast(pa.binary()).to_pylist()
+                look = _looks(col)
                 raw = col.cast(pa.binary()).to_pylist()
-                look = [hash16(f) if f is not None and not f.decode().isspace() and f else None for f in form]
-                keep = pa.array([x is not None for x in look])
-                out = pa.RecordBatch.from_arrays([part.column(0), pa.array(look, pa.binary()), pa.array([hash16(r) if r is not None else None for r in raw], pa.binary())], ["id", "look", "raw"])
-                yield out.filter(keep)
+                out = pa.RecordBatch.from_arrays([part.column(0), pa.array(look, pa.binary()), pa.array([_hash16(r) if r is not None else None for r in raw], pa.binary())], ["id", "look", "raw"])
+                yield out.filter(pa.array([x is not None for x in look]))
 
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = texts.schema["id"].dataType.simpleString()
-    return texts.mapInArrow(run, f"id {kind}, look binary, raw binary")
+    return table(texts.mapInArrow(run, f"id {kind}, look binary, raw binary"), "looks")
 
 
 def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,6 +343,18 @@ def look_alike_pairs(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return a.join(b, "look").where(F.col(f"{id_col}_a") < F.col(f"{id_col}_b")).where("raw_a != raw_b").select(f"{id_col}_a", f"{id_col}_b").distinct()
 
 
+def look_alike_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents whose look has more than one spelling: (`id_col`, class_id, n_docs, n_spellings).
+
+    class_id is the least id of the documents that look the same. One row for each document,
+    so a template with many spellings isn't expanded to pairs.
+    """
+    keyed = _digests(df, id_col, text_col)
+    spelled = keyed.groupBy("look", "raw").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    sizes = spelled.groupBy("look").agg(F.min("least").alias("class_id"), F.sum("n").alias("n_docs"), F.count("*").alias("n_spellings")).where("n_spellings > 1")
+    return keyed.join(sizes, "look").select(F.col("id").alias(id_col), "class_id", "n_docs", "n_spellings")
+
+
 def spelling_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """By source: documents with text, and those whose characters the consistent form changes."""
 
@@ -244,7 +363,7 @@ def spelling_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for part in T.slices(batch, ["text"]):
                 import pyarrow.compute as pc
 
-                changed = pc.not_equal(canonical_column(part.column(1)), part.column(1)).cast(pa.int64())
+                changed = pc.not_equal(canonical_column(part.column(1), keep=True), part.column(1)).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), changed], ["source", "changed"])
 
     texts = df.where(F.col(text_col).isNotNull()).select(F.col(source_col).alias("source"), F.col(text_col).alias("text"))

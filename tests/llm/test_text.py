@@ -164,6 +164,41 @@ def test_look_alikes(spark):
     assert texts[1] == "The fine café" and texts[18] is None and len(texts) == len(rows)
 
 
+WORDS_OF_ONE_SCRIPT = ["Мама мыла раму", "Россия", "Αθήνα", "Київ і Одеса", "о том, с кем он", "Ένα άλλο κείμενο", "Ирландия и Ямайка", "The fine café", "ЗАО РОСТ и HP", "Übergröße", "ІРСО"]
+
+
+def test_text_form_keeps_scripts():
+    """Pure words stay what they are; a look-alike inside a word of another script is put right,
+    whatever its script, and so is a short word between words of another script."""
+    form = lambda texts: visual_form.canonical_column(pa.array(texts, pa.string()), keep=True).to_pylist()
+    assert form(WORDS_OF_ONE_SCRIPT) == WORDS_OF_ONE_SCRIPT
+    assert form(["Poccия", "Mама мылa рaмy", "Kиїв i Oдeca", "Aθήνα", "Тhе finе", "о тoм, c кем он", "dоor"]) == ["Россия", "Мама мыла раму", "Київ і Одеса", "Αθήνα", "The fine", "о том, с кем он", "door"]
+    # the look is one for all of them
+    look = lambda texts: visual_form.canonical_column(pa.array(texts, pa.string())).to_pylist()
+    assert look(["Россия", "Мама"]) == look(["Poccия", "Maмa"]) and look(["kır"]) != look(["kir"])
+    # the same text spelled in several ways
+    rng, alike = random.Random(2), {a: b for a, b in visual_form.LOOK_ALIKES.items() if len(b) == 1 and visual_form._script(a) == 2 and visual_form._script(b) == 1}
+    text = "Мастер Петров составил отчёт о работе в порту, а сторож у моста продаёт старую карту"
+    for _ in range(50):
+        assert form(["".join(alike.get(c, c) if rng.random() < 0.3 else c for c in text)]) == [text]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("аоeocpжn вΑαθ.Ａéё́"), max_size=15), max_size=5))
+def test_text_form_is_stable_and_has_the_look(texts):
+    once = visual_form.canonical_column(pa.array(texts, pa.string()), keep=True)
+    assert visual_form.canonical_column(once, keep=True).to_pylist() == once.to_pylist()
+    assert visual_form.canonical_column(once).to_pylist() == visual_form.canonical_column(pa.array(texts, pa.string())).to_pylist()
+
+
+def test_classes_of_looks(spark):
+    rows = [(1, "The fine"), (2, "Тhe fine"), (3, "The fine"), (4, "the fine"), (5, None), (6, ""), (7, "x"), (8, "x"), (9, "Ｔhe fine")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("look", F.lit(1)).withColumn("class_id", F.lit(1))
+    got = {tuple(r) for r in visual_form.look_alike_classes(df).collect()}
+    assert got == {(i, 1, 4, 3) for i in (1, 2, 3, 9)}
+    assert visual_form.look_alike_classes(df.limit(0)).count() == 0
+
+
 SENTENCES = {
     "en": ["The pilot sells the old map at the market.", "In the library, the baker shows a new book to the guide."],
     "de": ["Der Pilot verkauft die alte Karte auf dem Markt.", "In der Bücherei zeigt der Bäcker dem Führer ein neues Buch."],
