@@ -21,6 +21,8 @@ class BitFilter:
 
     def has(self, keys: np.ndarray) -> np.ndarray:
         """Which of the keys (int64) may have been among those of the filter."""
+        if not len(keys):
+            return np.zeros(0, bool)
         slot = keys.view(np.uint64) & np.uint64(64 * len(self.words) - 1)
         return (self.words[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 

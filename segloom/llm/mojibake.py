@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from segloom.llm import bitfilter
 from segloom.util import parallelism, shuffle_partitions, table
 
 #: Characters outside ASCII but those of East Asian writing and its punctuation: a text may be
@@ -39,7 +40,7 @@ LOST = "�"
 #: wrong one loses bytes (U+FFFD); a text that survives it whole was no garbling.
 SINGLE = ["latin_1", "cp1252", "cp1250", "cp1251", "iso8859_2", "iso8859_15", "mac_roman", "cp437", "cp850", "cp852", "cp866", "koi8_r"]
 CHAINS: dict[str, list[str]] = {
-    "utf_8": [*SINGLE, "cp932", "gbk"],
+    "utf_8": SINGLE,
     "cp1252": ["mac_roman", "cp437", "cp850", "cp1250", "cp1251", "koi8_r", "latin_1", "utf_8"],
     "cp1250": ["cp1252", "latin_1", "iso8859_2", "cp1251", "cp852", "mac_roman", "utf_8"],
     "iso8859_2": ["cp1252", "latin_1", "cp1250", "utf_8"],
@@ -67,8 +68,6 @@ TIMES_SEVERAL, TIMES_SINGLE = 1, 4
 #: A text counts so many times at most, however many copies it has: one garbled text in many
 #: rows doesn't make its tokens frequent.
 COPIES = 4
-#: Bits of the filters that keep forms which the corpus doesn't have out of the shuffle.
-FILTER_BITS = 1 << 25
 
 
 @functools.lru_cache(maxsize=None)
@@ -149,22 +148,11 @@ def tokens(text: str) -> set[tuple[str, str]]:
     return out
 
 
-def _slot(kind: str, token: str) -> int:
+def _key(kind: str, token: str) -> int:
+    """A key of a token for the filters that keep forms which the corpus doesn't have out of the
+    shuffle."""
     raw = (kind + token).encode("utf-8", "surrogatepass")
-    return (zlib.crc32(raw) * 0x9E3779B1 ^ zlib.adler32(raw)) % FILTER_BITS
-
-
-def _filter(spark, slots: DataFrame):
-    """Broadcast bit array of the slots: of fixed size, however many tokens there are."""
-    words = slots.groupBy((F.col("slot") / 64).cast("int").alias("w")).agg(F.expr("bit_or(shiftleft(1L, slot % 64))").alias("b"))
-    bits = np.zeros(FILTER_BITS // 64, np.uint64)
-    got = words.toArrow()  # at most FILTER_BITS / 64 rows
-    bits[got.column(0).to_numpy()] = got.column(1).to_numpy().view(np.uint64)
-    return spark.sparkContext.broadcast(bits.view(np.uint8))
-
-
-def _has(bits: np.ndarray, slot: int) -> bool:
-    return bool(bits[slot >> 3] >> (slot & 7) & 1)
+    return (zlib.crc32(raw) * 0x9E3779B1 ^ zlib.adler32(raw)) & 0x7FFFFFFFFFFFFFFF
 
 
 def _fields(df: DataFrame, id_col: str, text_cols) -> DataFrame:
@@ -185,7 +173,7 @@ def _count(batches):
                     seen["c", c] += copies
         keys = list(seen)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([k for k, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.string()), pa.array([_slot(k, t) for k, t in keys], pa.int32()), pa.array(seen.values(), pa.int64())], ["kind", "token", "slot", "n"]
+            [pa.array([k for k, _ in keys], pa.string()), pa.array([t for _, t in keys], pa.string()), pa.array([_key(k, t) for k, t in keys], pa.int64()), pa.array(seen.values(), pa.int64())], ["kind", "token", "key", "n"]
         )
 
 
@@ -194,45 +182,61 @@ def clean(token: str) -> bool:
     return not any("\x7f" <= c <= "\x9f" or c == LOST for c in token)
 
 
-def _garbler(bits_of):
+def possible(chars: list[str], every: list[tuple[str, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each code point, for each number and chain whether it may occur in a word that
+    the chain garbles into characters of the corpus). ASCII, and number 0, may always.
+
+    A form with a character that no text of the corpus has can't be one of its tokens, so no
+    form is lost; most words fall out of most chains here, before they are garbled.
+    """
+    known = {*chars, *map(chr, range(128))}
+    number = np.zeros(0x110000, np.int32)
+    may = np.ones((len(chars) + 1, len(every)), bool)
+    for i, c in enumerate(chars, 1):
+        number[ord(c)] = i
+        for k, chain in enumerate(every):
+            form = garble(c, chain)
+            # bytes that are read together with their neighbours' can't be told by themselves
+            may[i, k] = LOST in known if chain[1] == "utf_8" else _encode(c, chain[0]) is not None and (form is None or known.issuperset(form))
+    return number, may
+
+
+def _garbler(bits_of, chars: list[str]):
     """mapInArrow: clean words (kind, token, n) to the forms that the corpus may have."""
     every = chains()
-    name = {c: ">".join(c) for c in every}
-    # encodings of East Asian text garble its characters, and only those
-    use = {"w": [c for c in every if c[0] not in EAST], "r": [c for c in every if c[0] == "utf_8"], "c": [c for c in every if c[0] in SEVERAL and c[1] != "utf_8"]}
-
-    def forms(kind: str, words: list[str]):
-        plain = "\n".join(words)
-        for chain in use[kind]:
-            if chain[1] in ("cp932", "gbk"):  # may swallow a separator
-                yield chain, [garble(w, chain) for w in words]
-                continue
-            raw = plain.encode(chain[0], "replace")
-            out = decode(raw, chain[1])
-            for wrong in chain[2:]:
-                out = decode(out.encode("utf_8"), wrong)
-            written = raw.split(b"\n")
-            yield chain, [None if b"?" in r or f == w or (chain[1] == "utf_8" and LOST not in f) else f for w, f, r in zip(words, out.split("\n"), written)]
+    name = [">".join(c) for c in every]
+    # encodings of East Asian text garble its characters, and only those; a single character
+    # that is lost on its own is a form as well
+    use = {"w": [c[0] not in EAST for c in every], "r": [c[0] == "utf_8" for c in every], "c": [(c[0] in SEVERAL) != (c[1] == "utf_8") for c in every]}
+
+    def forms(chain, words: list[str]):
+        raw = "\n".join(words).encode(chain[0], "replace")
+        out = decode(raw, chain[1])
+        for wrong in chain[2:]:
+            out = decode(out.encode("utf_8"), wrong)
+        return [None if b"?" in r or f == w or (chain[1] == "utf_8" and LOST not in f) else f for w, f, r in zip(words, out.split("\n"), raw.split(b"\n"))]
 
     def run(batches):
+        number, may = possible(chars, every)
         bits = bits_of.value
         for batch in batches:
             kinds, words, n = (batch.column(k).to_pylist() for k in range(3))
             rows: list[tuple] = []
             for kind in use:
-                at = [i for i, k in enumerate(kinds) if k == kind and clean(words[i]) and (kind != "c" or CJK.match(words[i]))]
-                if not at:
+                at = np.array([i for i, k in enumerate(kinds) if k == kind and clean(words[i])], np.int64)
+                if not len(at):
                     continue
                 want = "g" if kind == "c" else kind
-                for chain, made in forms(kind, [words[i] for i in at]):
-                    for i, form in zip(at, made):
-                        if form is not None and _has(bits, _slot(want, form)):
-                            rows.append((want, form, words[i], name[chain], n[i]))
-            if any(k == "c" for k in kinds):
-                for i, k in enumerate(kinds):
-                    if k == "c" and words[i] != LOST:
-                        rows.append(("g", LOST, words[i], "cp1252>utf_8", n[i]))
-                        break
+                points = np.frombuffer("".join(words[i] for i in at).encode("utf-32-le", "surrogatepass"), np.uint32)
+                first = np.cumsum([0, *(len(words[i]) for i in at[:-1])])
+                fits = np.logical_and.reduceat(may[number[points]], first, axis=0) & np.array(use[kind])
+                if kind == "c":  # n-grams are forms of characters that are written without spaces
+                    fits &= np.array([bool(CJK.match(words[i])) for i in at])[:, None] | np.array([c[1] == "utf_8" for c in every])
+                for k in np.flatnonzero(fits.any(axis=0)).tolist():
+                    own = at[fits[:, k]].tolist()
+                    made = [(i, f) for i, f in zip(own, forms(every[k], [words[i] for i in own])) if f is not None and (kind != "c" or every[k][1] != "utf_8" or f == LOST)]
+                    has = bits.has(np.array([_key(want, f) for _, f in made], np.int64))
+                    rows += [(want, f, words[i], name[k], n[i]) for (i, f), h in zip(made, has.tolist()) if h]
             types = [pa.string()] * 4 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], types[k]) for k in range(5)], ["kind", "token", "word", "chain", "n_word"])
 
@@ -240,47 +244,46 @@ def _garbler(bits_of):
 
 
 def garbled_tokens(fields: DataFrame) -> DataFrame:
-    """Tokens of the corpus that are garbled forms: kind, token, word, chain, slot.
+    """Tokens of the corpus that are garbled forms: kind, token, key, word, chain, n_words.
 
     One row for each token, with its most frequent explanation.
     """
     spark = fields.sparkSession
     texts = fields.groupBy("text").agg(F.least(F.count("*"), F.lit(COPIES)).alias("copies"))
-    part = texts.mapInArrow(_count, "kind string, token string, slot int, n bigint")
-    seen = table(part.groupBy("kind", "token").agg(F.first("slot").alias("slot"), F.sum("n").alias("n")), "tokens")
-    bits = _filter(spark, seen.where("kind != 'c'").select("slot"))
+    part = texts.mapInArrow(_count, "kind string, token string, key bigint, n bigint")
+    seen = table(part.groupBy("kind", "token").agg(F.first("key").alias("key"), F.sum("n").alias("n")), "tokens")
+    bits = bitfilter.build(seen.where("kind != 'c'"), "key")
+    chars = sorted(r.token for r in seen.where("kind = 'c'").select("token").collect())  # as many as Unicode has at most
     words = seen.where("kind != 'g'").select("kind", "token", "n")
     # the table's few files would be few tasks for much work
-    forms = words.repartition(max(shuffle_partitions(spark), parallelism(spark)), "token").mapInArrow(_garbler(bits), "kind string, token string, word string, chain string, n_word bigint")
+    forms = words.repartition(max(shuffle_partitions(spark), parallelism(spark)), "token").mapInArrow(_garbler(bits, chars), "kind string, token string, word string, chain string, n_word bigint")
     one = F.substring_index("chain", ">", 1)
     least = F.when(one.isin(*SEVERAL), TIMES_SEVERAL).otherwise(TIMES_SINGLE)
     lost = F.col("token").contains(LOST)
-    hits = forms.join(seen.select("kind", "token", "slot", "n"), ["kind", "token"]).where((F.col("n_word") >= least * F.col("n")) | lost)
+    hits = forms.join(seen.select("kind", "token", "key", "n"), ["kind", "token"]).where((F.col("n_word") >= least * F.col("n")) | lost)
     best = F.max_by(F.struct("word", "chain"), F.struct("n_word", "word", "chain"))
-    return hits.groupBy("kind", "token", "slot").agg(best.alias("b"), F.max("n_word").alias("n_word"), F.countDistinct("word").alias("n_words")).select("kind", "token", "slot", "b.word", "b.chain", "n_words")
+    return hits.groupBy("kind", "token", "key").agg(best.alias("b"), F.max("n_word").alias("n_word"), F.countDistinct("word").alias("n_words")).select("kind", "token", "key", "b.word", "b.chain", "n_words")
 
 
 def _hits(fields: DataFrame, marked: DataFrame) -> DataFrame:
     """(id, field, kind, token, word, chain, n_words) for each garbled token of each text."""
-    spark = fields.sparkSession
-    bits_of = _filter(spark, marked.select("slot"))
+    bits_of = bitfilter.build(marked, "key")
 
     def run(batches):
         bits = bits_of.value
         for batch in batches:
-            rows, kinds, found = [], [], []
+            rows, own = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                for kind, token in tokens(text):
-                    if _has(bits, _slot(kind, token)):
-                        rows.append(i)
-                        kinds.append(kind)
-                        found.append(token)
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(kinds, pa.string()), pa.array(found, pa.string())], ["id", "field", "kind", "token"])
+                here = tokens(text)
+                rows += [i] * len(here)
+                own += here
+            some = np.flatnonzero(bits.has(np.array([_key(k, t) for k, t in own], np.int64))).tolist()
+            at = pa.array([rows[j] for j in some], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([own[j][0] for j in some], pa.string()), pa.array([own[j][1] for j in some], pa.string())], ["id", "field", "kind", "token"])
 
     kind = fields.schema["id"].dataType.simpleString()
     few = fields.mapInArrow(run, f"id {kind}, field string, kind string, token string")
-    return few.join(marked.drop("slot"), ["kind", "token"])
+    return few.join(marked.drop("key"), ["kind", "token"])
 
 
 def _evidence(hits: DataFrame) -> DataFrame:
