@@ -39,6 +39,18 @@ def aggregate_scores(method: str, scores: Column) -> Column:
     return mean_of(scores) if method == "mean" else rrwa_of(scores)
 
 
+def combine(method: str, scores: list[int | None]) -> int:
+    """The same for the samples of one prompt in a worker."""
+    if method not in METHODS:
+        raise ValueError(f"Unknown aggregation method: {method}")
+    kept = sorted((min(100.0, max(0.0, float(s))) for s in scores if s is not None), reverse=True)
+    if not kept:
+        return 0
+    weights = [1.0] * len(kept) if method == "mean" else [1.0 / rank for rank in range(1, len(kept) + 1)]
+    value = sum(s * w for s, w in zip(kept, weights)) / sum(weights)
+    return int(value) if method == "mean" else round(value)
+
+
 def aggregate_rows(samples: DataFrame, id_col: str, score_col: str, method: str) -> DataFrame:
     """The same over rows of samples: (`id_col`, score int).
 

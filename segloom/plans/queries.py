@@ -205,9 +205,8 @@ def terminology(spark, folder):
     terms = terms.select("n_regionkey", F.transform("names", entry).alias("terminology"))
     rows = segments(spark, folder).withColumn("n_regionkey", (F.col("seg_id") % 6).cast("int")).join(terms, "n_regionkey", "left")
     rows = rows.withColumn("terminology", F.coalesce("terminology", F.array().cast(terms.schema["terminology"].dataType)))
-    named = F.concat("tgt", F.lit("|"), F.array_join(F.transform("terminology", lambda t: t["src"]), ","))
-    score = HashScorer("term").column({c: F.col(c) for c in ("src_lang", "tgt_lang", "src")} | {"tgt": named})
-    return rows.select("seg_id", F.size("terminology").alias("n_terms"), score.alias("score"))
+    scored = score_segments(rows, "DATERM", HashScorer("term"))
+    return scored.select("seg_id", F.size("terminology").alias("n_terms"), "score")
 
 
 # metrics and evaluation

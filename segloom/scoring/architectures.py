@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from typing import Any
 
+from segloom.functions.aggregates import METHODS
 from segloom.schema import CRITERIA, INPUT_COLS
 
 
@@ -24,7 +26,19 @@ class Architecture:
     subscores: list[str] = field(default_factory=list)
 
     def config(self) -> dict:
-        return {"num_samples": self.num_samples, "method": self.method, "sampling_temperature": self.sampling_temperature}
+        """The settings that a saved program replaces; none for an architecture of one sample."""
+        return {"num_samples": self.num_samples, "method": self.method, "sampling_temperature": self.sampling_temperature} if self.method else {}
+
+    def configured(self, config: dict[str, Any] | None) -> "Architecture":
+        """With the settings of a program; an architecture of one sample has none to replace."""
+        if not self.method or not config:
+            return self
+        out = replace(self, **{k: config[k] for k in self.config() if k in config})
+        if out.num_samples < 1:
+            raise ValueError("num_samples must be >= 1")
+        if out.method not in METHODS:
+            raise ValueError(f"Unknown aggregation method: {out.method}")
+        return out
 
 
 OVERALL = {"score": "overall quality from 0 (useless) to 100 (perfect)"}
@@ -46,6 +60,7 @@ ARCHITECTURES = {
     "DA": Architecture("DA", DIRECT),
     "DATERM": Architecture("DATERM", TERMS),
     "MR7": Architecture("MR7", SEVEN, subscores=CRITERIA),
+    "MR8": Architecture("MR8", SEVEN, subscores=CRITERIA),
     "MR7MEAN": Architecture("MR7MEAN", SEVEN, 10, "mean", subscores=CRITERIA),
     "MR7RRWA": Architecture("MR7RRWA", SEVEN, 10, "RRWA", subscores=CRITERIA),
 }

@@ -20,17 +20,26 @@ class ScoreResult:
 
 @dataclass(frozen=True)
 class ScorerConfig:
-    """Connection and sampling settings. The key is read from the environment by the worker."""
+    """Connection and sampling settings. The key is read from the environment by the worker.
+
+    max_concurrent is the number of requests of the whole job; `tasks` is the number of tasks
+    that may run at a time, among which it is divided.
+    """
 
     model: str = ""
     api_base: str | None = None
     key_variables: tuple[str, ...] = ("SEGLOOM_API_KEY", "OPENAI_API_KEY")
     max_tokens: int = 2048
     max_concurrent: int = 100
+    tasks: int = 1
     timeout: float = 6000.0
     verify_tls: bool = True
     sampling: dict[str, Any] = field(default_factory=dict)
 
+    @property
+    def per_task(self) -> int:
+        return max(1, self.max_concurrent // max(1, self.tasks))
+
     def request_options(self) -> dict[str, Any]:
         """max_tokens and the sampling settings; the latter win."""
         return {"max_tokens": self.max_tokens} | dict(self.sampling)

@@ -1,25 +1,36 @@
-"""Scorer for a chat endpoint that speaks the common completions protocol."""
+"""Scorer for a chat endpoint that speaks the common completions protocol.
+
+The first sample of an answer is asked for directly; further ones ask for the reasoning first,
+at the sampling temperature, each with a seed of its own.
+"""
 
 from __future__ import annotations
 
+import hashlib
+import http.client
 import json
 import os
+import queue
 import re
 import ssl
-import urllib.error
-import urllib.request
+import threading
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from typing import Any
+from urllib.parse import urlsplit
 
 from segloom.scoring.base import ScoreResult, ScorerConfig, retried
 
 NUMBER = re.compile(r"-?\d+")
 
 
-def prompt_text(signature, program: dict[str, Any] | None, prompt: dict[str, Any]) -> str:
+def prompt_text(signature, program: dict[str, Any] | None, prompt: dict[str, Any], reasoning: bool = False) -> str:
     """The request text of one translation: instruction, output format, examples, inputs."""
     program = program or {}
-    lines = [program.get("instruction") or signature.instruction, "", "Answer with one JSON object with these integer fields:"]
+    lines = [program.get("instruction") or signature.instruction, ""]
+    if reasoning:
+        lines.append("Think step by step: write your reasoning into a text field `reasoning` before the scores.")
+    lines.append("Answer with one JSON object with these integer fields:")
     lines += [f"- {name}: {text}" for name, text in signature.outputs.items()]
     for demo in program.get("demos", []):
         lines += ["", "Example:", json.dumps(demo, ensure_ascii=False)]
@@ -42,28 +53,93 @@ def read_answer(signature, text: str) -> ScoreResult:
     return ScoreResult(values.pop("score"), values or None)
 
 
+class Pool:
+    """Open connections to one endpoint, shared by the threads of a worker."""
+
+    def __init__(self, base: str, timeout: float, verify: bool):
+        self.parts, self.timeout, self.verify = urlsplit(base), timeout, verify
+        self.idle: queue.LifoQueue[http.client.HTTPConnection] = queue.LifoQueue()
+
+    def _new(self) -> http.client.HTTPConnection:
+        if self.parts.scheme == "https":
+            context = ssl.create_default_context() if self.verify else ssl._create_unverified_context()
+            return http.client.HTTPSConnection(self.parts.netloc, timeout=self.timeout, context=context)
+        return http.client.HTTPConnection(self.parts.netloc, timeout=self.timeout)
+
+    def post(self, path: str, body: bytes, headers: dict[str, str]) -> bytes:
+        """The answer to a request; a kept connection that the server closed is replaced once."""
+        try:
+            connection, kept = self.idle.get_nowait(), True
+        except queue.Empty:
+            connection, kept = self._new(), False
+        try:
+            try:
+                connection.request("POST", self.parts.path + path, body, headers)
+                answer = connection.getresponse()
+            except (http.client.RemoteDisconnected, ConnectionError):
+                connection.close()
+                if not kept:
+                    raise
+                connection = self._new()
+                connection.request("POST", self.parts.path + path, body, headers)
+                answer = connection.getresponse()
+            text = answer.read()
+        except BaseException:
+            connection.close()
+            raise
+        if answer.will_close:
+            connection.close()
+        else:
+            self.idle.put(connection)
+        if answer.status >= 400:
+            raise OSError(f"status {answer.status}: {text[:200]!r}")
+        return text
+
+
+_POOLS: dict[tuple, Pool] = {}
+_LOCK = threading.Lock()
+
+
+def pool_of(base: str, timeout: float, verify: bool) -> Pool:
+    """The pool of this worker for an endpoint."""
+    with _LOCK:
+        return _POOLS.setdefault((base, timeout, verify), Pool(base, timeout, verify))
+
+
 class HttpScorer:
-    def __init__(self, signature, config: ScorerConfig, program: dict[str, Any] | None = None):
+    """`program` may hold an instruction, demos and a config with a sampling_temperature."""
+
+    def __init__(self, signature, config: ScorerConfig, program: dict[str, Any] | None = None, temperature: float = 0.5):
         self.signature, self.config, self.program = signature, config, program
+        self.temperature = ((program or {}).get("config") or {}).get("sampling_temperature", temperature)
+
+    @property
+    def max_concurrent(self) -> int:
+        return self.config.max_concurrent
+
+    def shared_by(self, tasks: int) -> "HttpScorer":
+        """The scorer for one of so many tasks that run at a time."""
+        return HttpScorer(self.signature, replace(self.config, tasks=tasks), self.program, self.temperature)
+
+    def fingerprint(self) -> str:
+        """What an answer depends on besides the prompt; equal for scorers that ask the same."""
+        asks = [self.config.model, self.config.api_base, self.config.request_options(), self.program, self.temperature, self.signature.instruction, self.signature.outputs]
+        return hashlib.md5(json.dumps(asks, sort_keys=True, default=str).encode()).hexdigest()
 
     def _call(self, prompt: dict[str, Any], sample: int) -> ScoreResult:
         options = self.config.request_options()
         if sample:
-            options = {"temperature": 0.5, "seed": sample} | options
-        body = {"model": self.config.model, "messages": [{"role": "user", "content": prompt_text(self.signature, self.program, prompt)}], **options}
+            options |= {"temperature": self.temperature, "seed": sample}
+        body = {"model": self.config.model, "messages": [{"role": "user", "content": prompt_text(self.signature, self.program, prompt, sample > 0)}], **options}
         key = next((os.environ[v] for v in self.config.key_variables if os.environ.get(v)), "NIL")
-        request = urllib.request.Request(f"{(self.config.api_base or 'http://localhost:8000/v1').rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"})
-        context = None if self.config.verify_tls else ssl._create_unverified_context()
-        try:
-            with urllib.request.urlopen(request, timeout=self.config.timeout, context=context) as answer:
-                reply = json.load(answer)
-        except urllib.error.URLError as e:
-            if isinstance(e.reason, TimeoutError):
-                raise TimeoutError(str(e)) from e
-            raise
+        base = (self.config.api_base or "http://localhost:8000/v1").rstrip("/")
+        pool = pool_of(base, self.config.timeout, self.config.verify_tls)
+        reply = json.loads(pool.post("/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"}))
         return read_answer(self.signature, reply["choices"][0]["message"]["content"])
 
     def score_batch(self, prompts, sample=0):
-        """All prompts of a batch, at most max_concurrent at a time in this worker."""
-        with ThreadPoolExecutor(max(1, min(len(prompts), self.config.max_concurrent))) as pool:
+        """All prompts of a batch, at most per_task of them at a time."""
+        if not prompts:
+            return []
+        with ThreadPoolExecutor(max(1, min(len(prompts), self.config.per_task))) as pool:
             return list(pool.map(lambda p: retried(lambda: self._call(p, sample)), prompts))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from typing import Any
 
 from pyspark.sql import Column
@@ -33,7 +34,8 @@ class LengthRatio:
 
 
 class HashScorer:
-    """A score from 0 to 100 by the hash of languages, texts and the sample's number."""
+    """A score from 0 to 100 by the hash of languages, texts, terms (if there are any) and the
+    sample's number."""
 
     def __init__(self, salt: str = "s"):
         self.salt = salt
@@ -42,12 +44,16 @@ class HashScorer:
         out = []
         for p in prompts:
             key = [p[c] or "" for c in ("src_lang", "tgt_lang", "src", "tgt")]
+            if "terminology" in p:
+                key.append(",".join(t["src"] or "" for t in (json.loads(p["terminology"]) if isinstance(p["terminology"], str) else p["terminology"]) or ()))
             subs = {c: hashed(self.salt, c, *key) % 11 for c in CRITERIA}
             out.append(ScoreResult(hashed(self.salt, sample, *key) % 101, subs))
         return out
 
     def column(self, inputs: dict[str, Column], sample: Column | None = None) -> Column:
         key = [F.coalesce(inputs[c], F.lit("")) for c in ("src_lang", "tgt_lang", "src", "tgt")]
+        if "terminology" in inputs:
+            key.append(F.coalesce(F.array_join(F.transform(inputs["terminology"], lambda t: F.coalesce(t["src"], F.lit(""))), ","), F.lit("")))
         number = F.lit("0") if sample is None else sample.cast("string")
         return (hash_fraction(F.lit(self.salt), number, *key) % 101).cast("int")
 

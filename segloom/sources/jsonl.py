@@ -55,6 +55,23 @@ def read_examples(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]
     return parsed.where(usable).select("ordinal", *INPUT_COLS, "score"), parsed.where(~usable & (F.col("kind") != "blank")).select("ordinal", "raw", reason.alias("reason"))
 
 
+def load_examples(spark: SparkSession, path: str) -> DataFrame:
+    """The examples of a labelled file that must be right as a whole: ordinal and five fields.
+
+    Fails before anything else runs if no line has a required field, a line lacks one, or a
+    score isn't a finite number. Blank lines and lines that are no object are left out.
+    """
+    parsed = parse_lines(read_lines(spark, path)).where("kind = 'ok'").withColumn("given", F.get_json_object("raw", "$.score"))
+    have = parsed.agg(F.count("*").alias("n"), *[F.count(c).alias(c) for c in (*INPUT_COLS, "given")]).first()
+    name = lambda c: "score" if c == "given" else c
+    for lacking in (lambda c: have[c] == 0, lambda c: have[c] < have.n):
+        if have.n and (missing := sorted(name(c) for c in (*INPUT_COLS, "given") if lacking(c))):
+            raise ValueError(f"Missing required fields: {', '.join(missing)}")
+    if wrong := parsed.where("score is null").select("given").first():
+        raise ValueError(f"Invalid score value: {wrong.given!r}")
+    return parsed.select("ordinal", *INPUT_COLS, "score")
+
+
 def spool_stdin(spark: SparkSession, stream=None) -> str:
     """Copies standard input to a file in the shared folder and returns its path."""
     stream = stream or sys.stdin.buffer

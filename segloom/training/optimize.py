@@ -16,7 +16,7 @@ from segloom.operators.pairs import k_pairs, limit_pairs
 from segloom.operators.sampling import order_key, shuffled
 from segloom.schema import INPUT_COLS, PAIR_INPUT_COLS
 from segloom.training.program import Program
-from segloom.util import table
+from segloom.util import parallelism, table
 
 
 @dataclass
@@ -120,21 +120,58 @@ def search_ascent(programs: list[Program], train: DataFrame, validation: DataFra
 
 
 OPTIMIZERS = {"MIPROv2": search_joint, "SIMBA": search_ascent}
+#: Options of each search, and the names under which the command line takes them.
+SEARCH = {"MIPROv2": ("minibatch", "keep"), "SIMBA": ("steps", "batch")}
+NAMES = {"minibatch_size": "minibatch", "full_evals": "keep", "max_steps": "steps", "bsize": "batch", "max_labeled_demos": "per_program", "max_demos": "per_program"}
+
+
+def search_options(optimizer: str, params: dict[str, Any], compile_params: dict[str, Any]) -> dict[str, Any]:
+    """Options of a search from its two free-form dictionaries, the second one winning; names
+    that the search doesn't have are in `unknown`."""
+    out: dict[str, Any] = {"num_candidates": 8, "seed": 42, "per_program": 4}
+    unknown = []
+    for name, value in {**params, **compile_params}.items():
+        own = NAMES.get(name, name)
+        if own not in out and own not in SEARCH[optimizer]:
+            unknown.append(name)
+        elif value is not None:
+            if not isinstance(value, int) or isinstance(value, bool) or value < 0:
+                raise ValueError(f"{name} must be a number that isn't negative")
+            out[own] = value
+    return {**out, "unknown": sorted(unknown)}
+
+
+def request_tasks(args, spark) -> int:
+    return max(1, min(parallelism(spark), args.max_concurrent))
 
 
 def asked(programs: list[Program], args, train: DataFrame) -> CandidateColumn:
-    """Predictions of an endpoint as a column: a Pandas UDF that sends each batch of rows."""
+    """Predictions of an endpoint as a column: a Pandas UDF that sends each batch of rows.
+
+    A program is asked as it would be in a prediction: all samples of its architecture, the
+    first one directly and the others with reasoning, combined by its method. The limit on
+    requests is divided among the tasks that may run at a time.
+    """
     from segloom.cli import scorer_of
+    from segloom.functions.aggregates import combine
     from segloom.scoring.architectures import architecture
 
+    tasks = request_tasks(args, train.sparkSession)
+
     def predict(number: int, inputs: dict[str, Column]) -> Column:
         program = programs[number]
-        scorer = scorer_of(args, architecture(program.architecture).signature, program.state())
+        arch = architecture(program.architecture).configured(program.config)
+        scorer = scorer_of(args, arch.signature, program.state(), arch.sampling_temperature)
+        if hasattr(scorer, "shared_by"):
+            scorer = scorer.shared_by(tasks)
 
         @F.pandas_udf("int")
         def ask(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
             rows = [dict(zip(INPUT_COLS, values)) for values in zip(a, b, c, d)]
-            return pd.Series([r.score if r.score is not None else 0 for r in scorer.score_batch(rows, 0)])
+            samples = [[r.score for r in scorer.score_batch(rows, i)] for i in range(arch.num_samples)]
+            if arch.method:
+                return pd.Series([combine(arch.method, list(x)) for x in zip(*samples)], dtype="int32")
+            return pd.Series([s if s is not None else 0 for s in samples[0]], dtype="int32")
 
         return ask(*[inputs[c] for c in INPUT_COLS])
 

@@ -32,6 +32,15 @@ def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> Sp
     return builder.getOrCreate()
 
 
+def session(app: str = "segloom", **conf: str) -> SparkSession:
+    """The session that the launcher configures (master, executors, shared folder), with the
+    settings the operators rely on unless it says otherwise."""
+    builder = SparkSession.builder.appName(app).config("spark.sql.adaptive.enabled", "true").config("spark.sql.adaptive.skewJoin.enabled", "true")
+    for key, value in conf.items():
+        builder = builder.config(key.replace("__", "."), value)
+    return builder.getOrCreate()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` of the session.
 

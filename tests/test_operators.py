@@ -10,7 +10,7 @@ from segloom.scoring.architectures import architecture
 from segloom.scoring.base import ScoreResult, ScorerConfig, retried
 from segloom.scoring.offline import HashScorer, LengthRatio
 from segloom.scoring.predict import map_rows, predict, score_pairs, score_segments
-from segloom.sources.jsonl import parse_lines, read_examples, read_lines
+from segloom.sources.jsonl import load_examples, parse_lines, read_examples, read_lines
 from segloom.sources.sinks import write_ordered, write_unordered
 from segloom.streaming.predict import score_stream
 from segloom.training import optimize
@@ -202,30 +202,115 @@ def test_retry():
     assert ScorerConfig(sampling={"max_tokens": 5}).request_options() == {"max_tokens": 5}
 
 
-def test_http_scorer():
+@pytest.fixture
+def endpoint():
+    """A chat endpoint that notes its requests and how many run at a time."""
     import threading
-    from http.server import BaseHTTPRequestHandler, HTTPServer
-
-    from segloom.scoring.http import HttpScorer
+    import time
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
     class Handler(BaseHTTPRequestHandler):
+        protocol_version = "HTTP/1.1"
+
+        def setup(self):
+            super().setup()
+            with lock:
+                server.connections += 1
+
         def do_POST(self):
             body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            with lock:
+                server.calls.append(body)
+                server.now += 1
+                server.most = max(server.most, server.now)
+            time.sleep(server.wait)
             bad = "FAIL" in body["messages"][0]["content"]
-            answer = json.dumps({"choices": [{"message": {"content": "no" if bad else 'Sure: {"score": 71, "accuracy": "8"}'}}]}).encode()
+            score = 71 + body.get("seed", 0)
+            answer = json.dumps({"choices": [{"message": {"content": "no" if bad else f'Sure: {{"score": {score}, "accuracy": "8"}}'}}]}).encode()
+            with lock:
+                server.now -= 1
             self.send_response(200)
+            self.send_header("Content-Length", str(len(answer)))
             self.end_headers()
             self.wfile.write(answer)
 
         def log_message(self, *_):
             pass
 
-    server = HTTPServer(("127.0.0.1", 0), Handler)
+    lock = threading.Lock()
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    server.calls, server.now, server.most, server.connections, server.wait = [], 0, 0, 0, 0.0
+    server.base = f"http://127.0.0.1:{server.server_port}/v1"
     threading.Thread(target=server.serve_forever, daemon=True).start()
-    scorer = HttpScorer(architecture("MR7").signature, ScorerConfig("m", f"http://127.0.0.1:{server.server_port}/v1"))
-    a, b = scorer.score_batch([{"src": "a", "tgt": "b"}, {"src": "FAIL", "tgt": "b"}], 0)
+    yield server
     server.shutdown()
+
+
+def test_http_scorer(endpoint):
+    from segloom.scoring.http import HttpScorer
+
+    scorer = HttpScorer(architecture("MR7").signature, ScorerConfig("m", endpoint.base))
+    a, b = scorer.score_batch([{"src": "a", "tgt": "b"}, {"src": "FAIL", "tgt": "b"}], 0)
     assert a.score == 71 and a.subscores == {"accuracy": 8} and b.score == 0 and b.error
+    for _ in range(10):
+        scorer.score_batch([{"src": "a", "tgt": "b"}], 0)
+    assert len(endpoint.calls) == 12 and endpoint.connections <= 3  # connections are kept
+    assert scorer.score_batch([], 0) == []
+
+
+def test_samples_at_the_endpoint(spark, two_sources, endpoint):
+    """One plain request for each prompt, the others with reasoning, at the sampling
+    temperature, each with its seed; a program's config replaces their number."""
+    from segloom.scoring.http import HttpScorer
+
+    rows = examples(two_sources, ["seg_id"])
+    prompts = 5  # two rows are the same prompt
+    scorer = HttpScorer(architecture("MR7RRWA").signature, ScorerConfig("m", endpoint.base, sampling={"temperature": 0.0, "top_p": 0.9}))
+    out = score_segments(rows, "MR7RRWA", scorer).collect()
+    assert len(out) == 6 and len(endpoint.calls) == 10 * prompts
+    plain = [c for c in endpoint.calls if "seed" not in c]
+    assert len(plain) == prompts and all(c["temperature"] == 0.0 and "reasoning" not in c["messages"][0]["content"] for c in plain)
+    rest = [c for c in endpoint.calls if "seed" in c]
+    assert sorted({c["seed"] for c in rest}) == list(range(1, 10))
+    assert all(c["temperature"] == 0.5 and c["top_p"] == 0.9 and "reasoning" in c["messages"][0]["content"] for c in rest)
+    endpoint.calls.clear()
+    program = Program.new("MR7RRWA")
+    program.config |= {"num_samples": 3, "sampling_temperature": 0.9, "method": "mean"}
+    scorer = HttpScorer(architecture("MR7RRWA").signature, ScorerConfig("m", endpoint.base), program.state())
+    out = score_segments(rows, "MR7RRWA", scorer, config=program.config).collect()
+    assert {r.score for r in out} == {72} and len(endpoint.calls) == 3 * prompts
+    assert {c["temperature"] for c in endpoint.calls if "seed" in c} == {0.9}
+    with pytest.raises(ValueError, match="num_samples"):
+        architecture("MR7MEAN").configured({"num_samples": 0})
+    with pytest.raises(ValueError, match="Unknown aggregation"):
+        architecture("MR7MEAN").configured({"method": "median"})
+    assert architecture("DA").configured({"num_samples": 3}).num_samples == 1
+
+
+@pytest.mark.parametrize("cap", [2, 8])
+def test_requests_of_a_job_are_limited(spark, endpoint, cap):
+    """Four workers together stay under the limit."""
+    from segloom.scoring.http import HttpScorer
+
+    endpoint.wait = 0.02
+    rows = segs(spark, [(i, "en", "de", f"s{i}", "t", 1.0, "") for i in range(60)]).repartition(8)
+    score_segments(rows, "DA", HttpScorer(architecture("DA").signature, ScorerConfig("m", endpoint.base, max_concurrent=cap))).collect()
+    assert len(endpoint.calls) == 60 and 1 < endpoint.most <= cap
+
+
+def test_answers_are_kept_between_runs(spark, two_sources, endpoint, tmp_path):
+    from segloom.scoring.http import HttpScorer
+
+    rows, cache = examples(two_sources, ["seg_id"]), str(tmp_path / "answers")
+    make = lambda model: HttpScorer(architecture("MR7").signature, ScorerConfig(model, endpoint.base))
+    bad = segs(spark, [(9, "en", "de", "FAIL", "t", 1.0, "")])
+    for _ in range(2):
+        out = score_segments(rows, "MR7", make("m"), keep_subscores=True, cache=cache).collect()
+        assert len(out) == 6 and {r.score for r in out} == {71} and {r.accuracy_score for r in out} == {8}
+        score_segments(bad, "MR7", make("m"), cache=cache).collect()
+    assert len(endpoint.calls) == 5 + 2  # failures aren't kept
+    score_segments(rows, "MR7", make("other"), cache=cache).collect()
+    assert len(endpoint.calls) == 12
 
 
 def test_map_rows(spark):
@@ -277,6 +362,76 @@ def test_search(spark, two_sources, objective, name):
         optimize.load_sets(train, None, optimize.TrainingConfig("x"))
 
 
+def test_labelled_files_must_be_right(spark, tmp_path):
+    path = tmp_path / "bad.jsonl"
+    good = {"src_lang": "en", "tgt_lang": "de", "src": "x", "tgt": "y", "score": 5}
+    for row, message in (({k: v for k, v in good.items() if k != "score"}, "Missing required fields: score"), ({"src": "x"}, "Missing required fields: score, src_lang, tgt, tgt_lang"), (good | {"score": "not-a-number"}, "Invalid score value: 'not-a-number'")):
+        path.write_text(json.dumps(row) + "\n")
+        with pytest.raises(ValueError, match=message):
+            load_examples(spark, str(path))
+        with pytest.raises(SystemExit, match=message):
+            cli.main(["--scorer", "hash", "train-da", "--training-data", str(path), "--objective", "PA", "--output", str(tmp_path / "p.json")])
+    path.write_text(json.dumps(good) + "\n\n" + json.dumps(good | {"tgt": None}) + "\n")
+    with pytest.raises(ValueError, match="Missing required fields: tgt"):
+        load_examples(spark, str(path))
+    path.write_text(json.dumps(good) + "\n\n" + json.dumps(good | {"score": "7"}) + "\n")
+    assert sorted(r.score for r in load_examples(spark, str(path)).collect()) == [5.0, 7.0]
+
+
+def test_command_line_session(spark, tmp_path, capsys, endpoint, monkeypatch):
+    """No master of its own, data alone on standard output, rejects with reasons, a program's
+    config, kept answers, and training that asks for all samples."""
+    import os
+
+    monkeypatch.setenv("SEGLOOM_API_KEY", "")
+    monkeypatch.setattr("segloom.util.local_session", None)
+    path = tmp_path / "in.jsonl"
+    path.write_text('{"src_lang":"en","tgt_lang":"de","src":"abc","tgt":"abd"}\nnull\n{"src_lang":"en","src":"x"}\n{bad\n\n')
+    program = Program.new("MR7MEAN")
+    program.config["num_samples"] = 3
+    program.save(str(tmp_path / "p.json"))
+    http = ["--model", "m", "--api-base", endpoint.base, "--api-key", "k", "--response-cache", str(tmp_path / "cache")]
+    for _ in range(2):
+        cli.main([*http, "predict-da", "--architecture", "MR7MEAN", "--trained-model", str(tmp_path / "p.json"), "--rejects", str(tmp_path / "rejects"), str(path)])
+        out = capsys.readouterr()
+        assert [json.loads(x)["score"] for x in out.out.splitlines()] == [72]
+        assert "1 lines rejected: broken" in out.err and "1 lines rejected: no object" in out.err and "1 lines rejected: no tgt" in out.err
+        assert "1 lines scored, 0 of them with an error" in out.err
+    assert len(endpoint.calls) == 3
+    assert sorted(json.loads(r.value)["reason"] for r in spark.read.text(str(tmp_path / "rejects")).collect()) == ["broken", "no object", "no tgt"]
+    endpoint.calls.clear()
+    data = tmp_path / "train.jsonl"
+    data.write_text("".join(json.dumps({"src_lang": "en", "tgt_lang": "de", "src": f"s{i}", "tgt": f"t{i}", "score": i}) + "\n" for i in range(4)))
+    cli.main([*http[:4], "train-da", "--training-data", str(data), "--architecture", "MR7MEAN", "--initial-program", str(tmp_path / "p.json"), "--optimizer-params", '{"num_candidates": 2}', "--optimizer-compile-params", '{"seed": 5, "x": 1}', "--output", str(tmp_path / "q.json")])
+    assert len(endpoint.calls) == 4 * 2 * 3 and "no parameter x" in capsys.readouterr().err
+    assert Program.load(str(tmp_path / "q.json")).config["num_samples"] == 3
+    os.environ.pop("SEGLOOM_API_KEY", None)
+
+
+def test_offline_training_honours_scorer_and_architecture(spark, tmp_path, capsys):
+    data = tmp_path / "train.jsonl"
+    data.write_text("".join(json.dumps({"src_lang": "en", "tgt_lang": "de", "src": "abcd"[: i + 1], "tgt": "abcd", "score": 25 * (i + 1)}) + "\n" for i in range(4)))
+    cli.main(["--scorer", "length", "train-da", "--training-data", str(data), "--optimizer-params", '{"num_candidates": 2}', "--output", str(tmp_path / "p.json")])
+    assert "program 0: 1.0 over 4" in capsys.readouterr().err  # lengths are exactly right here
+    err = {}
+    for arch in ("MR7", "MR7MEAN"):
+        cli.main(["--scorer", "hash", "train-da", "--training-data", str(data), "--architecture", arch, "--output", str(tmp_path / "p.json")])
+        err[arch] = capsys.readouterr().err
+    assert err["MR7"] != err["MR7MEAN"]
+    with pytest.raises(ValueError, match="negative"):
+        optimize.search_options("SIMBA", {"max_steps": -1}, {})
+
+
+@pytest.mark.parametrize("method", ["mean", "RRWA"])
+def test_combine_is_the_column(spark, method):
+    from segloom.functions.aggregates import aggregate_scores, combine
+
+    cases = [[], [None], [50], [100, 0], [-5, 130, None], [3, 7, 7, 90, 12]]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, s array<int>")
+    got = {r.i: r.x for r in df.select("i", aggregate_scores(method, F.col("s")).alias("x")).collect()}
+    assert [combine(method, c) for c in cases] == [got[i] for i in range(len(cases))]
+
+
 def test_command_line(spark, tmp_path, capsys, monkeypatch):
     monkeypatch.setattr("segloom.util.local_session", lambda *a, **k: spark)
     path = tmp_path / "in.jsonl"
