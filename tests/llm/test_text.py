@@ -234,6 +234,59 @@ def test_languages(spark):
     assert langid.wrong_labels(df.limit(0)).count() == 0
 
 
+def test_sentences_of_many_scripts():
+    for text in ("Καλημέρα σας. Ένα βιβλίο; Όχι!", "यह एक किताब है। वह पढ़ता है।", "هذا كتاب؟ هو يقرأ.", "이것은 책입니다. 그는 읽습니다.", "日本語です。次の文。", "One (two.) Three! four"):
+        found = langid.sentences(text)
+        assert len(found) == 2 and found[0][1] == found[1][0] and found[1][1] == len(text), text
+    assert len(langid.sentences("lampu č. 92259 a nr 5. řeka")) == 1
+
+
+def test_unseen_words_are_decided_by_their_ngrams(spark):
+    rng = random.Random(4)
+    parts = {"de": ["schr", "ung", "ich", "ver", "lich", "ße", "sch", "ein"], "cs": ["ří", "ost", "ova", "ně", "ký", "ček", "pří", "ová"], "fr": ["eau", "tion", "eux", "oir", "que", "ell", "aux", "ois"]}
+    word = lambda lang: "".join(rng.choices(parts[lang], k=3))
+    rows = [(i, lang, lang, *(" ".join(word(lang) for _ in range(30)) for _ in range(2))) for i, lang in enumerate(rng.choices(list(parts), k=900))]
+    used = {w for r in rows for t in r[3:] for w in t.split()}
+    fresh = {}
+    for lang in parts:
+        own = []
+        while len(own) < 40:
+            if (w := "".join(rng.choices(parts[lang], k=4))) not in used:
+                own.append(w)
+        fresh[lang] = " ".join(own)
+    new = [(2000 + i, "xx", "xx", fresh[lang], "Zuwe 12") for i, lang in enumerate(parts)]
+    df = spark.createDataFrame(rows + new, "seg_id bigint, src_lang string, tgt_lang string, src string, tgt string")
+    got = {(r.seg_id, r.field_name): (r.lang, r.confidence) for r in langid.text_languages(df).collect()}
+    assert [got[r[0], "src"][0] for r in new] == list(parts) and all(got[r[0], "src"][1] > 0.9 for r in new)
+    assert all(got[r[0], "tgt"] == (None, 0.0) for r in new)  # two words decide nothing
+
+
+def test_a_rare_language_has_a_model_and_a_rare_wrong_label_has_none(spark):
+    """A language of 0.05 % of the texts; and one whose label stands on texts of others only."""
+    rng, rows = random.Random(5), []
+    rare = ["Peilot selliau vana kaardi turul.", "Raamatukogus näitab pagar giidile uut raamatut.", "Kalur parandab õhtul jões paati."]
+    for i in range(30000):
+        lang = rng.choice(["en", "de", "ru"])
+        rows.append((i, lang, lang, SENTENCES[lang][i % 2], SENTENCES[lang][(i + 1) % 2]))
+    rows += [(40000 + i, "nl", "nl", rare[i % 3], rare[(i + 1) % 3]) for i in range(15)]
+    rows += [(50000 + i, "it", "it", SENTENCES["de"][0], SENTENCES["en"][1]) for i in range(20)]
+    rows.append((60000, "en", "xx", rare[0] + " " + rare[1], SENTENCES["de"][0]))
+    df = spark.createDataFrame(rows, "seg_id bigint, src_lang string, tgt_lang string, src string, tgt string")
+    got = {(r.seg_id, r.field_name, r.lang) for r in langid.wrong_labels(df).collect()}
+    assert got == {(50000 + i, f, lang) for i in range(20) for f, lang in (("src", "de"), ("tgt", "en"))} | {(60000, "src", "nl"), (60000, "tgt", "de")}
+
+
+def test_calibration():
+    """Scores that are four times too sure are divided by about four."""
+    rng = np.random.default_rng(1)
+    model = langid.Model(["a", "b"], {}, {}, [{}] * langid.ORDER, [{}] * langid.ORDER, {"a": 0.0, "b": 0.0})
+    lead = rng.normal(0, 3, 4000)
+    label = ["b" if rng.random() < 1 / (1 + np.exp(-x)) else "a" for x in lead]
+    model.score = lambda texts: (np.stack([np.zeros(len(texts)), np.array([float(t) for t in texts])], 1), np.zeros((len(texts), 2)), None, None)
+    model.calibrate([(c, str(4 * x)) for c, x in zip(label, lead)])
+    assert 3 <= model.divisor <= 6
+
+
 CLEAN = ["Příliš žluťoučký kůň úpěl ďábelské ódy", "Проводник показывает новую книгу", "Der Führer trägt schöne Bücher", "駅の裏で古い地図を見せる", "“Quoted” – with dashes", "plain ascii"]
 
 
