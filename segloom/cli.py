@@ -177,7 +177,11 @@ def train_da(args, spark, out) -> None:
     train, validation = optimize.load_sets(load(args.training_data), load(args.validation_data) if args.validation_data else None, config)
     train = table(train, "train")
     base = Program.load(args.initial_program, args.architecture) if args.initial_program else Program.new(args.architecture)
-    programs = optimize.propose(base, optimize.demonstrations(train, args.objective, 16), options["num_candidates"], options["seed"], options["per_program"])
+    demos, instructions = optimize.demonstrations(train, args.objective, 16), []
+    if args.scorer == "http" and options["instructions"]:
+        writer = scorer_of(args, architecture(args.architecture).signature)
+        instructions = optimize.ask_for_instructions(writer.complete, base, demos, options["instructions"])
+    programs = optimize.propose(base, demos, options["num_candidates"], options["seed"], options["per_program"], instructions)
     if args.scorer == "http":
         # no more tasks than requests that may run at a time
         train, validation = (x.coalesce(optimize.request_tasks(args, spark)) if x is not None else None for x in (train, validation))

@@ -15,6 +15,8 @@ from segloom.functions.scalar import first_words
 class Tokenizer(Protocol):
     def encode(self, text: str) -> list[int]: ...
 
+    def encode_batch(self, texts: list[str]) -> list[list[int]]: ...
+
     def decode(self, ids: list[int]) -> str: ...
 
 
@@ -33,6 +35,9 @@ class FileTokenizer:
     def encode(self, text: str) -> list[int]:
         return self.inner.encode(text).ids
 
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.inner.encode_batch_fast(texts)]
+
     def decode(self, ids: list[int]) -> str:
         return self.inner.decode(ids, skip_special_tokens=True)
 
@@ -62,12 +67,10 @@ def truncate_tokens(df: DataFrame, n: int | None, path: str, cols: tuple[str, ..
     @F.pandas_udf("string")
     def cut(texts: pd.Series) -> pd.Series:
         tokenizer = load_tokenizer(path)
-
-        def one(text):
-            ids = tokenizer.encode(text)
-            return tokenizer.decode(ids[:n]) if len(ids) > n else text
-
-        return texts.map(one, na_action="ignore")
+        # each distinct text of a batch once, all together
+        given = list({t for t in texts if isinstance(t, str)})
+        short = {t: tokenizer.decode(ids[:n]) if len(ids) > n else t for t, ids in zip(given, tokenizer.encode_batch(given))}
+        return pd.Series([short.get(t) if isinstance(t, str) else None for t in texts], dtype=object)
 
     for c in cols:
         if c in df.columns:

@@ -82,6 +82,13 @@ parsed as (
     when regexp_full_match(trim(score_text), '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') then try_cast(trim(score_text) as double) end as score from typed)"""
 
 
+def _candidates(count: int) -> str:
+    """Every candidate program over all examples."""
+    off = "((score - {0}) / 100.0::double)"
+    each = [f"select {p}::int as program, count(*) as n, round(avg(1.0::double - {off.format(_score(f'program{p}'))} * {off.format(_score(f'program{p}'))}), 6) as objective from seg" for p in range(count)]
+    return f"{_HEAD} " + " union all ".join(each)
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "eval_by_lang": f"{_HEAD} select tgt_lang, count(*) as n, round(avg(1.0::double - ((score - {_LENGTH}) / 100.0::double) * ((score - {_LENGTH}) / 100.0::double)), 6) as objective from seg group by tgt_lang",
@@ -116,7 +123,8 @@ def oracle_sql() -> dict[str, str]:
         "metric_pa_strict": f"{_PAIRED} select id1, id2, case when sign(tgt1_score - tgt2_score) = sign(tgt1_pred - tgt2_pred) then 1.0::double else 0.0::double end as metric from preds",
         "eval_pairs_by_lang": f"{_PAIRED} select tgt_lang, count(*) as n, round(avg({_pa(0.0)}), 6) as objective from preds group by tgt_lang",
         "eval_samples": f"with {_RRWA} select system_name, count(*) as n, round(avg(1.0::double - ((g.score - r.score) / 100.0::double) * ((g.score - r.score) / 100.0::double)), 6) as objective from segments g join rrwa r using (seg_id) where g.score is not null and not isnan(g.score) group by system_name",
-        "eval_by_candidate": f"{_HEAD} " + " union all ".join(f"select {p}::int as program, count(*) as n, round(avg(1.0::double - ((score - {_score(f'program{p}')}) / 100.0::double) * ((score - {_score(f'program{p}')}) / 100.0::double)), 6) as objective from seg" for p in range(4)),
+        "eval_by_candidate": _candidates(4),
+        "search_mipro": _candidates(6),
     }
     samples = f"samples as (select seg_id, i, {_score('s', 'i::varchar')}::double as s from seg, range(10) r(i))"
     out["score_mr7mean"] = f"{_HEAD}, {samples} select seg_id, floor(avg(s))::int as score from samples group by seg_id"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 from collections.abc import Callable
 
@@ -22,7 +21,7 @@ from segloom.sources.sinks import json_line, write_ordered
 from segloom.streaming.predict import score_stream
 from segloom.training import optimize
 from segloom.training.program import Program
-from segloom.util import shared_dir, table
+from segloom.util import run_dir, table
 
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
 
@@ -36,7 +35,7 @@ def segments(spark, folder, keep=("seg_id",)) -> DataFrame:
 
 
 def scratch(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/segloom/{name}-{uuid.uuid4().hex}"
+    return f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 # sources and sinks
@@ -280,8 +279,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ]
     out = {f.__name__: f for f in plain}
     out["truncate"] = truncate_words
-    if os.path.exists(TOKENIZER):
-        out["truncate_tokens"] = truncate_tokens
+    out["truncate_tokens"] = truncate_tokens
     out["search_mipro"] = lambda s, d: _search(s, d, "MIPROv2", "tRMSE")
     out["search_simba"] = lambda s, d: _search(s, d, "SIMBA", "PA")
     return out

@@ -126,16 +126,20 @@ class HttpScorer:
         asks = [self.config.model, self.config.api_base, self.config.request_options(), self.program, self.temperature, self.signature.instruction, self.signature.outputs]
         return hashlib.md5(json.dumps(asks, sort_keys=True, default=str).encode()).hexdigest()
 
-    def _call(self, prompt: dict[str, Any], sample: int) -> ScoreResult:
+    def complete(self, text: str, sample: int = 0) -> str:
+        """The endpoint's answer to a text, as it is."""
         options = self.config.request_options()
         if sample:
             options |= {"temperature": self.temperature, "seed": sample}
-        body = {"model": self.config.model, "messages": [{"role": "user", "content": prompt_text(self.signature, self.program, prompt, sample > 0)}], **options}
+        body = {"model": self.config.model, "messages": [{"role": "user", "content": text}], **options}
         key = next((os.environ[v] for v in self.config.key_variables if os.environ.get(v)), "NIL")
         base = (self.config.api_base or "http://localhost:8000/v1").rstrip("/")
         pool = pool_of(base, self.config.timeout, self.config.verify_tls)
         reply = json.loads(pool.post("/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {key}"}))
-        return read_answer(self.signature, reply["choices"][0]["message"]["content"])
+        return reply["choices"][0]["message"]["content"]
+
+    def _call(self, prompt: dict[str, Any], sample: int) -> ScoreResult:
+        return read_answer(self.signature, self.complete(prompt_text(self.signature, self.program, prompt, sample > 0), sample))
 
     def score_batch(self, prompts, sample=0):
         """All prompts of a batch, at most per_task of them at a time."""

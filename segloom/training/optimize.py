@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import math
 import random
+import sys
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pandas as pd
@@ -32,6 +35,8 @@ class TrainingConfig:
 #: Makes the predicted score of a candidate program: (program number, inputs) -> column.
 CandidateColumn = Callable[[int, dict[str, Column]], Column]
 
+#: Rules that a program gets if its scores are too high or too low.
+RULES = ("Scores tend to be too high: look for what is wrong before you decide.", "Scores tend to be too low: don't take away points for matters of taste.")
 #: Rewordings of an instruction that the search proposes.
 HINTS = ["", "Look at the numbers and names first.", "Judge meaning before style.", "Be strict about omissions.", "A fluent text with a wrong meaning is bad."]
 
@@ -70,13 +75,38 @@ def evaluate(data: DataFrame, programs: list[int], predict: CandidateColumn, obj
     return data.agg(F.array(*terms).alias("all")).select(F.explode("all").alias("x")).select("x.*")
 
 
-def propose(base: Program, demos: list[dict[str, Any]], count: int, seed: int = 42, per_program: int = 4) -> list[Program]:
-    """Programs with other instructions and demonstrations; the first is the base itself."""
+def propose(base: Program, demos: list[dict[str, Any]], count: int, seed: int = 42, per_program: int = 4, instructions: list[str] | None = None) -> list[Program]:
+    """Programs with other instructions and demonstrations; the first is the base itself.
+
+    The space is every instruction (the base's, its rewordings, and those given) with every set
+    of demonstrations; a search knows a program's place in it by `choice`.
+    """
     rng, out = random.Random(seed), [base]
-    for i in range(1, max(1, count)):
-        hint = HINTS[i % len(HINTS)]
-        chosen = rng.sample(demos, min(len(demos), rng.randint(0, per_program)))
-        out.append(Program(base.architecture, f"{base.instruction} {hint}".strip(), chosen, dict(base.config), list(base.input_fields), list(base.output_fields)))
+    texts = [f"{base.instruction} {hint}".strip() for hint in HINTS] + list(instructions or ())
+    sets = [list(base.demos)] + [rng.sample(demos, min(len(demos), rng.randint(1, max(1, per_program)))) if per_program else [] for _ in texts]
+    space = [(i, d) for i in range(len(texts)) for d in range(len(sets)) if i or d]
+    rng.shuffle(space)
+    # new instructions come first
+    space.sort(key=lambda c: c[0] < len(HINTS))
+    for i, d in space[: max(0, count - 1)]:
+        out.append(replace(base, instruction=texts[i], demos=list(sets[d]), config=dict(base.config), choice=(i, d)))
+    return out
+
+
+def ask_for_instructions(ask: Callable[[str, int], str], base: Program, demos: list[dict[str, Any]], count: int) -> list[str]:
+    """Instructions that an endpoint proposes from the base's and some labelled examples; a
+    failed or empty answer proposes nothing."""
+    shown = "\n".join(json.dumps(d, ensure_ascii=False) for d in demos[:8])
+    text = f"This instruction asks a model for a task:\n{base.instruction}\n\nExamples with the right scores:\n{shown}\n\nWrite one better instruction for the same task. Answer with the instruction alone."
+    out: list[str] = []
+    for i in range(count):
+        try:
+            answer = ask(text, i + 1).strip()
+        except Exception as e:  # noqa: BLE001
+            print(f"no instruction proposed: {e}", file=sys.stderr)
+            continue
+        if answer and answer not in out:
+            out.append(answer)
     return out
 
 
@@ -86,34 +116,83 @@ def demonstrations(data: DataFrame, objective: str, count: int, seed: int = 42)
     return [r.asDict() for r in data.select(*cols).orderBy(order_key(seed, *cols)).limit(count).collect()]
 
 
-def search_joint(programs: list[Program], train: DataFrame, validation: DataFrame | None, predict: CandidateColumn, config: TrainingConfig, minibatch: int = 200, keep: int | None = None) -> tuple[int, DataFrame]:
+def next_trials(programs: list[Program], seen: dict[int, float], count: int, rng: random.Random) -> list[int]:
+    """Untried programs whose instruction and demonstrations are frequent among the better
+    quarter of those tried and rare among the rest (a categorical tree-structured Parzen
+    estimator); one of them by chance, so that no part of the space is given up."""
+    left = [p for p in range(len(programs)) if p not in seen]
+    if len(left) <= count or not seen:
+        return left[:count]
+    ranked = sorted(seen, key=lambda p: (-seen[p], p))
+    good = ranked[: max(1, len(ranked) // 4)]
+
+    def promise(p: int) -> float:
+        total = 0.0
+        for part in (0, 1):
+            value = programs[p].choice[part]
+            share = lambda among: (1 + sum(programs[q].choice[part] == value for q in among)) / (len(among) + 2)
+            total += math.log(share(good) / share(ranked[len(good) :]))
+        return total
+
+    best = sorted(left, key=lambda p: (-promise(p), p))[: count - 1]
+    return best + [rng.choice([p for p in left if p not in best])]
+
+
+def search_joint(programs: list[Program], train: DataFrame, validation: DataFrame | None, predict: CandidateColumn, config: TrainingConfig, minibatch: int = 200, keep: int | None = None, trials: int | None = None, seed: int = 42) -> tuple[int, DataFrame]:
     """Scores all candidates on all data in one pass; returns the best one's number and the
-    table of final scores. Only if `keep` is given, cheap trials come first, as in MIPROv2
-    (arXiv 2406.11695): all candidates on a seeded minibatch, and the best few on all data."""
+    table of final scores. Only if `keep` or `trials` is given, cheap trials come first, as in
+    MIPROv2 (arXiv 2406.11695): so many candidates, picked four at a time by what the trials
+    before say about their parts, each four on a seeded minibatch of their own, and the best few
+    (3, unless `keep` says otherwise) on all data."""
     best = list(range(len(programs)))
-    if keep is not None:
-        key = [c for c in train.columns]
-        small = table(train.orderBy(order_key(42, *key)).limit(minibatch), "minibatch")
-        trial = evaluate(small, best, predict, config.objective, config.epsilon).collect()
-        best = [r.program for r in sorted(trial, key=lambda r: (-(r.objective or 0.0), r.program))[: max(1, keep)]]
+    if keep is not None or trials is not None:
+        rng, seen = random.Random(seed), {}
+        todo = len(programs) if trials is None else min(max(1, trials), len(programs))
+        step = len(programs) if trials is None else 4
+        while len(seen) < todo:
+            some = next_trials(programs, seen, min(step, todo - len(seen)), rng)
+            small = table(train.orderBy(order_key(seed + len(seen), *train.columns)).limit(minibatch), "minibatch")
+            for r in evaluate(small, some, predict, config.objective, config.epsilon).collect():
+                seen[r.program] = r.objective or 0.0
+        best = sorted(seen, key=lambda p: (-seen[p], p))[: max(1, 3 if keep is None else keep)]
     final = table(evaluate(validation if validation is not None else train, best, predict, config.objective, config.epsilon), "final")
     top = final.orderBy(F.desc("objective"), "program").first()
     return top.program, final
 
 
-def search_ascent(programs: list[Program], train: DataFrame, validation: DataFrame | None, predict: CandidateColumn, config: TrainingConfig, steps: int = 4, batch: int = 100) -> tuple[int, DataFrame]:
-    """Hill climbing: each step compares the current program with the next candidates on the
-    examples where their predictions spread most. Reports the validation metric as well."""
-    current, metric_cols = 0, list(range(len(programs)))
+def search_ascent(programs: list[Program], train: DataFrame, validation: DataFrame | None, predict: CandidateColumn, config: TrainingConfig, steps: int = 4, batch: int = 100, seed: int = 42) -> tuple[int, DataFrame]:
+    """Hill climbing that looks at its own mistakes, after the idea of stochastic introspective
+    minibatch ascent. Each step takes the examples on which the current program and its rivals
+    spread most, over all data, makes two new programs from the current one (with the example
+    it is worst on as a demonstration; with a rule against the side it errs to), and goes on
+    with the best of all on those examples. New programs are added to `programs`. Reports the
+    metric of the first and the last one on all validation data."""
+    current, rivals = 0, list(range(1, min(3, len(programs))))
     ins = {c: F.col(c) for c in INPUT_COLS} if config.objective == "tRMSE" else {"src_lang": F.col("src_lang"), "tgt_lang": F.col("tgt_lang"), "src": F.col("src"), "tgt": F.col("tgt1")}
+    gold = F.col("score" if config.objective == "tRMSE" else "tgt1_score")
+    cols = [*INPUT_COLS, "score"] if config.objective == "tRMSE" else [*PAIR_INPUT_COLS, "tgt1_score", "tgt2_score"]
+    untried = list(range(3, len(programs)))
     for step in range(steps):
-        rivals = [p for p in metric_cols if p != current][step * 2 : step * 2 + 2] or [p for p in metric_cols if p != current][:2]
-        if not rivals:
+        if not rivals and not untried:
             break
         predictions = [predict(p, ins).cast("double") for p in (current, *rivals)]
-        spread = F.greatest(*predictions) - F.least(*predictions)
-        hard = table(train.withColumn("spread", spread).orderBy(F.desc("spread"), order_key(42 + step, *train.columns)).limit(batch).drop("spread"), "hard")
-        rows = evaluate(hard, [current, *rivals], predict, config.objective, config.epsilon).collect()
+        spread = F.greatest(*predictions) - F.least(*predictions) if rivals else F.abs(predictions[0] - gold)
+        hard = train.withColumn("spread", spread).withColumn("off", predictions[0] - gold)
+        hard = table(hard.orderBy(F.desc("spread"), order_key(seed + step, *train.columns)).limit(batch), "hard")
+        rows = evaluate(hard.drop("spread", "off"), [current, *rivals], predict, config.objective, config.epsilon).collect()
+        current = min(rows, key=lambda r: (-(r.objective or 0.0), r.program)).program
+        worst = hard.where("off is not null").orderBy(F.desc(F.abs("off")), order_key(seed, *train.columns)).select(*cols).first()
+        mean = hard.agg(F.avg("off")).first()[0]
+        rivals, untried = untried[:1], untried[1:]
+        if worst is not None:
+            base = programs[current]
+            rule = RULES[0] if (mean or 0.0) > 0 else RULES[1]
+            for new in (replace(base, demos=[*base.demos, worst.asDict()]), replace(base, instruction=f"{base.instruction} {rule}")):
+                if new not in programs:
+                    programs.append(new)
+                    rivals.append(len(programs) - 1)
+    if rivals:
+        rows = evaluate(train, [current, *rivals], predict, config.objective, config.epsilon).collect()
         current = min(rows, key=lambda r: (-(r.objective or 0.0), r.program)).program
     final = table(evaluate(validation if validation is not None else train, sorted({0, current}), predict, config.objective, config.epsilon), "final")
     return current, final
@@ -121,14 +200,14 @@ def search_ascent(programs: list[Program], train: DataFrame, validation: DataFra
 
 OPTIMIZERS = {"MIPROv2": search_joint, "SIMBA": search_ascent}
 #: Options of each search, and the names under which the command line takes them.
-SEARCH = {"MIPROv2": ("minibatch", "keep"), "SIMBA": ("steps", "batch")}
-NAMES = {"minibatch_size": "minibatch", "full_evals": "keep", "max_steps": "steps", "bsize": "batch", "max_labeled_demos": "per_program", "max_demos": "per_program"}
+SEARCH = {"MIPROv2": ("minibatch", "keep", "trials", "seed"), "SIMBA": ("steps", "batch", "seed")}
+NAMES = {"minibatch_size": "minibatch", "num_trials": "trials", "num_instruct_candidates": "instructions", "full_evals": "keep", "max_steps": "steps", "bsize": "batch", "max_labeled_demos": "per_program", "max_demos": "per_program"}
 
 
 def search_options(optimizer: str, params: dict[str, Any], compile_params: dict[str, Any]) -> dict[str, Any]:
     """Options of a search from its two free-form dictionaries, the second one winning; names
     that the search doesn't have are in `unknown`."""
-    out: dict[str, Any] = {"num_candidates": 8, "seed": 42, "per_program": 4}
+    out: dict[str, Any] = {"num_candidates": 8, "seed": 42, "per_program": 4, "instructions": 0}
     unknown = []
     for name, value in {**params, **compile_params}.items():
         own = NAMES.get(name, name)

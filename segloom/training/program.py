@@ -18,6 +18,8 @@ class Program:
     config: dict[str, Any] = field(default_factory=dict)
     input_fields: list[str] = field(default_factory=lambda: sorted(INPUT_COLS))
     output_fields: list[str] = field(default_factory=lambda: ["score"])
+    #: Numbers of the instruction and the demonstrations in a search; not saved.
+    choice: tuple[int, int] = (0, 0)
 
     @classmethod
     def new(cls, name: str) -> "Program":

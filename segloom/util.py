@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIR: str | None = None
+#: Folder of this run's tables, below the shared one.
+_RUN = f"run-{uuid.uuid4().hex}"
+_USED: dict[str, SparkSession] = {}
 
 
 def local_session(cores: int | str = "*", memory: str = "8g", **conf: str) -> SparkSession:
@@ -58,6 +61,29 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL_DIR
 
 
+def run_dir(spark: SparkSession) -> str:
+    """The folder of this run's tables in the shared folder; deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/segloom/{_RUN}"
+    if path not in _USED:
+        if not _USED:
+            atexit.register(clear_tables)
+        _USED[path] = spark
+    return path
+
+
+def clear_tables() -> None:
+    """Deletes the tables this run has written to shared folders. Frames that read them can't be
+    used any more; new ones may be made."""
+    while _USED:
+        path, spark = _USED.popitem()
+        try:
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+        except Exception:  # noqa: BLE001  the session may be gone; a local folder can still go
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise `df` in the shared folder and return it without its lineage."""
     shared_dir(df.sparkSession)
@@ -71,7 +97,7 @@ def table(df: DataFrame, name: str) -> DataFrame:
     size is known to the optimizer, so a join on it is broadcast only if it is small.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/segloom/{name}-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -72,6 +72,19 @@ def test_sequential_draw_refuses_too_many(spark, monkeypatch, two_sources):
         pairs.sequential_pairs(examples(two_sources, ["seg_id"]), 2)
 
 
+def test_tables_are_deleted(spark, two_sources):
+    import os
+
+    from segloom import util
+
+    df = util.table(two_sources, "t")
+    path = util.run_dir(spark).removeprefix("file://")
+    assert df.count() == 6 and os.listdir(path)
+    util.clear_tables()
+    assert not os.path.exists(path)
+    assert util.table(two_sources, "t").count() == 6
+
+
 def test_numbered(spark):
     rows = spark.range(500).select(F.col("id").alias("seg_id"), F.lit("a").alias("src_lang"), F.lit("b").alias("tgt_lang"), (F.col("id") % 3).cast("string").alias("src"))
     got = pairs.numbered(rows).collect()
@@ -362,6 +375,47 @@ def test_search(spark, two_sources, objective, name):
         optimize.load_sets(train, None, optimize.TrainingConfig("x"))
 
 
+def test_trials_learn_about_parts(spark):
+    """Trials on minibatches find the best of a space by its parts, without trying all of it."""
+    import random
+
+    rows = spark.range(300).select(F.lit("en").alias("src_lang"), F.lit("de").alias("tgt_lang"), F.col("id").cast("string").alias("src"), F.lit("t").alias("tgt"), F.lit(50.0).alias("score"))
+    base = Program.new("DA")
+    demos = [{"src": str(i)} for i in range(20)]
+    programs = optimize.propose(base, demos, 36, instructions=["better"])
+    assert len(programs) == 36 and programs[0] is base and len({p.choice for p in programs}) == 36
+    tried = []
+
+    def predict(p, i):
+        tried.append(p)
+        return F.lit(90 - 30 * (programs[p].choice[0] == 5) - 5 * programs[p].choice[1])
+
+    best, scores = optimize.search_joint(programs, rows, None, predict, optimize.TrainingConfig("tRMSE"), minibatch=20, trials=16)
+    assert programs[best].choice[0] == 5 and scores.count() == 3 and len(set(tried)) == 16
+    seen = {p: float(programs[p].choice[0] == 2) for p in range(0, 36, 2)}
+    assert programs[optimize.next_trials(programs, seen, 3, random.Random(1))[0]].choice[0] == 2
+
+
+def test_ascent_makes_programs(spark, two_sources):
+    """The worst example becomes a demonstration; scores that are too high become a rule."""
+    programs = [Program.new("DA")]
+    train = examples(two_sources, ["seg_id"])
+    off = lambda p, i: F.lit(60) - F.lit(50 * bool(programs[p].demos)) if p < len(programs) else F.lit(60)
+    programs.append(Program.new("DA"))
+    best, scores = optimize.search_ascent(programs, train, None, off, optimize.TrainingConfig("tRMSE"), steps=2)
+    assert len(programs) > 2 and programs[best].demos and {r.program for r in scores.collect()} == {0, best}
+    assert any(optimize.RULES[0] in (p.instruction or "") for p in programs)
+
+
+def test_instructions_from_an_endpoint(endpoint, capsys):
+    from segloom.scoring.http import HttpScorer
+
+    scorer = HttpScorer(architecture("DA").signature, ScorerConfig("m", endpoint.base))
+    assert len(optimize.ask_for_instructions(scorer.complete, Program.new("DA"), [{"src": "a"}], 2)) == 2
+    broken = lambda text, sample: 1 / 0
+    assert optimize.ask_for_instructions(broken, Program.new("DA"), [], 2) == [] and "no instruction" in capsys.readouterr().err
+
+
 def test_labelled_files_must_be_right(spark, tmp_path):
     path = tmp_path / "bad.jsonl"
     good = {"src_lang": "en", "tgt_lang": "de", "src": "x", "tgt": "y", "score": 5}
