@@ -24,11 +24,12 @@ _NUMBER = re.compile(r"\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*\Z", re.ASCI
 @functools.lru_cache(maxsize=1 << 16)
 def _ignored(ch: str) -> bool:
     kind = unicodedata.category(ch)
-    return kind[0] in "PZ" or kind in ("Cc", "Cf") or (ch.isascii() and kind[0] == "S")
+    return kind[0] in "PZ" or kind in ("Cc", "Cf")
 
 
 class _Fold(dict):
-    """Translation table that drops white space, punctuation and ASCII signs, made on use."""
+    """Translation table that drops white space and punctuation, made on use; signs like `<` and
+    `+` say something and stay."""
 
     def __missing__(self, code: int):
         self[code] = out = None if _ignored(chr(code)) else code

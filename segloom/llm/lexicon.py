@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark import SparkFiles
 
 from segloom.llm import tokenizers as T
-from segloom.util import shared_dir, write_file
+from segloom.util import run_dir, table, write_file
 
 
 def compile_words(words: list[bytes], ids: list[list[int]]) -> dict[str, np.ndarray]:
@@ -49,31 +49,63 @@ def compile_words(words: list[bytes], ids: list[list[int]]) -> dict[str, np.ndar
         path[depth - 1][1].append((last[depth - 1], freeze(path.pop())))
     root = freeze(path[0])
     number = np.zeros(len(states), np.int64)  # words below each state; children come first
-    code = np.full(256, 0, np.int16)  # column of each byte; 0: never used
-    used = sorted({b for _, arcs in states for b, _ in arcs})
-    code[used] = np.arange(1, len(used) + 1)
-    width = len(used) + 1
-    arc = np.full((len(states) + 1, width), len(states), np.int32)  # the last state is the dead one
-    out = np.zeros((len(states) + 1, width), np.int32)
     final = np.zeros(len(states) + 1, bool)
+    keys, to, out = [], [], []
     for s, (is_final, arcs) in enumerate(states):
         final[s] = is_final
         below = int(is_final)
-        for byte, to in arcs:
-            arc[s, code[byte]], out[s, code[byte]] = to, below
-            below += number[to]
+        for byte, child in arcs:  # in rising order, so the keys rise as well
+            keys.append(s << 8 | byte)
+            to.append(child)
+            out.append(below)
+            below += number[child]
         number[s] = below
+    key, arc, out = np.array(keys, np.int64), np.array(to, np.int32), np.array(out, np.int32)
     begin = np.zeros(len(words) + 1, np.int64)
     np.cumsum([len(x) for x in ids], out=begin[1:])
     flat = np.fromiter((i for x in ids for i in x), np.int32, int(begin[-1]))
-    return {"code": code, "arc": arc, "out": out, "final": final, "begin": begin, "ids": flat, "root": np.array([root])}
+    slots, slot = _hashed(key)
+    return {"slots": slots, "arc": arc[slot], "out": out[slot], "final": final, "begin": begin, "ids": flat, "root": np.array([root])}
+
+
+def _spread(key: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def _hashed(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key of each slot or -1, number of its arc) of an open hash table with room for twice as
+    many arcs: a few bytes for each arc, however many bytes a state could have."""
+    bits = max(4, (2 * max(1, len(keys)) - 1).bit_length())
+    slots, number = np.full(1 << bits, -1, np.int64), np.zeros(1 << bits, np.int64)
+    left, at = np.arange(len(keys)), _spread(keys, bits)
+    while len(left):
+        free = slots[at] < 0
+        # of several arcs that want a free slot the last one gets it, the others go on
+        slots[at[free]] = keys[left[free]]
+        won = slots[at] == keys[left]
+        number[at[won]] = left[won]
+        left, at = left[~won], (at[~won] + 1) & ((1 << bits) - 1)
+    return slots, number if len(keys) else number[:0]
 
 
 class Lexicon:
     def __init__(self, arrays: dict[str, np.ndarray]):
         self.__dict__.update(arrays)
-        self.width = self.arc.shape[1]
-        self.dead = self.arc.shape[0] - 1
+        self.bits = (len(self.slots) - 1).bit_length()
+        self.dead = len(self.final) - 1
+
+    def _step(self, key: np.ndarray) -> np.ndarray:
+        """Slot of each arc, -1 if there is none."""
+        at, out = _spread(key, self.bits), np.full(len(key), -1, np.int64)
+        left = np.arange(len(key))
+        while len(left):
+            held = self.slots[at]
+            hit = held == key[left]
+            out[left[hit]] = at[hit]
+            on = ~hit & (held >= 0)
+            left, at = left[on], (at[on] + 1) & ((1 << self.bits) - 1)
+        return out
 
     def find(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
         """Number of each byte slice in the lexicon, -1 if it isn't there."""
@@ -81,17 +113,18 @@ class Lexicon:
         begin, size = begin[order], length[order]
         state = np.full(len(begin), int(self.root[0]), np.int64)
         total = np.zeros(len(begin), np.int64)
-        arc, out = self.arc.reshape(-1), self.out.reshape(-1)
         alive = np.arange(len(begin))
         step = 0
         while len(alive):
             alive = alive[: np.searchsorted(-size[alive], -step, "left")]  # longer than step
             if not len(alive):
                 break
-            cell = state[alive] * self.width + self.code[data[begin[alive] + step]]
-            total[alive] += out[cell]
-            state[alive] = arc[cell]
-            alive = alive[state[alive] != self.dead]
+            slot = self._step(state[alive] << 8 | data[begin[alive] + step])
+            gone = slot < 0
+            state[alive[gone]] = self.dead
+            alive, slot = alive[~gone], slot[~gone]
+            total[alive] += self.out[slot]
+            state[alive] = self.arc[slot]
             step += 1
         result = np.where(self.final[state], total, -1)
         back = np.empty(len(order), np.int64)
@@ -99,7 +132,7 @@ class Lexicon:
         return back
 
 
-FIELDS = ("code", "arc", "out", "final", "begin", "ids", "root")
+FIELDS = ("slots", "arc", "out", "final", "begin", "ids", "root")
 
 
 def ship(spark, arrays: dict[str, np.ndarray]) -> str:
@@ -109,7 +142,7 @@ def ship(spark, arrays: dict[str, np.ndarray]) -> str:
     buffer = io.BytesIO()
     for field in FIELDS:
         np.save(buffer, arrays[field])
-    path = f"{shared_dir(spark)}/segloom/{name}"
+    path = f"{run_dir(spark)}/{name}"
     write_file(spark, path, buffer.getvalue())
     spark.sparkContext.addFile(path)
     return name
@@ -138,9 +171,8 @@ def build(df, columns: list[str], vocab: str = T.DEFAULT, vocab_dir: str = T.VOC
     driver.
     """
     spark = df.sparkSession
-    counts = T.piece_counts(df, columns).persist()
+    counts = table(T.piece_counts(df, columns), "pieces")
     words = sorted(bytes(r[0]) for r in T.frequent(counts, least_share).select("piece").collect())
-    counts.unpersist()
     return ship(spark, compile_words(words, [T.encode_piece(w, vocab, vocab_dir) for w in words]))
 
 

@@ -85,13 +85,14 @@ def fill_containers(df: DataFrame, capacities: list[tuple[str, int]], id_col: st
     Columns size_name, container_id (unique in a size), doc_id, part, start_token, n_tokens:
     tokens [start_token, start_token + n_tokens) of the document are in the container. Every
     document with tokens is in full once for each size; documents without tokens (null or
-    empty text) come once for each size with a null container and 0 tokens. Documents with
-    the same text are one duplicate cluster. Ties in size go by place in the shard (by id).
+    empty text) come once for each size with a null container and 0 tokens. Documents whose
+    texts differ in letter case, white space and punctuation only are one duplicate cluster. Ties in size go by place in the shard (by id).
     Capacities must be positive. Rows with one id are separate items.
     """
     if any(c is None or c < 1 for _, c in capacities):
         raise ValueError("capacities must be positive")
-    base = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), digest(F.col(text_col)).alias("cluster"))
+    bare = F.lower(F.regexp_replace(F.col(text_col), r"[\s\p{Z}\p{P}\p{Cf}]+", ""))
+    base = df.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"), digest(bare).alias("cluster"))
     sized = table(token_counts(base, ["doc_id", "source", "cluster"], "text", vocab, vocab_dir), "sizes")
     items = sized.where("n_tokens > 0")
     shards = max(1, math.ceil(items.count() / shard_items))
@@ -118,3 +119,27 @@ def fill_containers(df: DataFrame, capacities: list[tuple[str, int]], id_col: st
     names = F.array(*[F.lit(n) for n, _ in capacities]) if capacities else F.array().cast("array<string>")
     without = sized.where("n_tokens = 0").select(F.explode(names).alias("size_name"), F.lit(None).cast("string").alias("container_id"), "doc_id", F.lit(0).alias("part"), F.lit(0).cast("bigint").alias("start_token"), F.lit(0).alias("n_tokens"))
     return packed.unionByName(without)
+
+
+def fill_report(df: DataFrame, capacities: list[tuple[str, int]]) -> DataFrame:
+    """By size: n_containers, n_tokens in them, and the share of their room that is used."""
+    parts = fill_containers(df, capacities).where("container_id is not null")
+    asked = df.sparkSession.createDataFrame([(n, int(c)) for n, c in capacities], "size_name string, capacity_tokens int")
+    boxes = parts.groupBy("size_name", "container_id").agg(F.sum("n_tokens").alias("n"))
+    sums = boxes.groupBy("size_name").agg(F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"))
+    return sums.join(F.broadcast(asked), "size_name").select("size_name", "capacity_tokens", "n_containers", "n_tokens", (F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens"))).alias("fill_share"))
+
+
+def fill_check(df: DataFrame, capacities: list[tuple[str, int]]) -> DataFrame:
+    """By size, what must hold: n_docs in containers, containers over their capacity, documents
+    that are split though they fit, and documents whose parts leave out or repeat a token."""
+    parts = table(fill_containers(df, capacities).where("container_id is not null"), "containers")
+    asked = df.sparkSession.createDataFrame([(n, int(c)) for n, c in capacities], "size_name string, capacity_tokens int")
+    boxes = parts.groupBy("size_name", "container_id").agg(F.sum("n_tokens").alias("n")).join(F.broadcast(asked), "size_name")
+    boxes = boxes.groupBy("size_name").agg(F.sum((F.col("n") > F.col("capacity_tokens")).cast("bigint")).alias("n_over"))
+    # parts of a document are numbered from 0 and lie one after the other: each but the last is full
+    docs = parts.groupBy("size_name", "doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n"), F.max("part").alias("last"), F.max(F.col("start_token") + F.col("n_tokens")).alias("end"))
+    docs = docs.join(F.broadcast(asked), "size_name")
+    wrong = (F.col("k") != F.col("last") + 1) | (F.col("n") != F.col("end"))
+    docs = docs.groupBy("size_name").agg(F.count("*").alias("n_docs"), F.sum(((F.col("k") > 1) & (F.col("n") <= F.col("capacity_tokens"))).cast("bigint")).alias("n_split"), F.sum(wrong.cast("bigint")).alias("n_wrong"))
+    return docs.join(boxes, "size_name").select("size_name", "n_docs", "n_over", "n_split", "n_wrong")

@@ -29,6 +29,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_found": lambda s, d: grouped_splits.related_rows(read(s, d, "segments"), names=read(s, d, "lang_names")),
         "p1_splits": lambda s, d: grouped_splits.assign_splits(read(s, d, "segments"), _shares(s, d), names=read(s, d, "lang_names")),
         "p1_report": lambda s, d: grouped_splits.split_report(read(s, d, "segments"), _shares(s, d), names=read(s, d, "lang_names")),
+        "p1_check": lambda s, d: grouped_splits.split_check(read(s, d, "segments"), _shares(s, d), names=read(s, d, "lang_names")),
         "p2_found": lambda s, d: truncation_model.cut_fields(read(s, d, "segments")),
         "p2_report": lambda s, d: truncation_model.cut_report(read(s, d, "segments")),
         "p3_budget": lambda s, d: token_budget.token_budget(read(s, d, "segments"), names=read(s, d, "lang_names")),
@@ -44,6 +45,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_report": lambda s, d: overlap.overlap_report(read(s, d, "split_examples")),
         "p8_ids": lambda s, d: corpus_encode.encode_corpus(read(s, d, "documents")),
         "p9_containers": lambda s, d: packing.fill_containers(read(s, d, "documents"), _capacities(s, d)),
+        "p9_fill": lambda s, d: packing.fill_report(read(s, d, "documents"), _capacities(s, d)),
+        "p9_check": lambda s, d: packing.fill_check(read(s, d, "documents"), _capacities(s, d)),
         "p10_found": lambda s, d: visual_form.look_alike_pairs(read(s, d, "documents")),
         "p10_classes": lambda s, d: visual_form.look_alike_classes(read(s, d, "documents")),
         "p10_texts": lambda s, d: visual_form.consistent_texts(read(s, d, "documents")),

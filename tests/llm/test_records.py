@@ -138,6 +138,12 @@ def test_collapse_against_brute_force(spark):
     assert {(r.first_id, r.copy_id) for r in collapse.copies(lines(spark, raws)).collect()} == want
 
 
+def test_signs_are_no_punctuation(spark):
+    record = {"src_lang": "en", "tgt_lang": "de", "score": 1}
+    raws = [json.dumps(record | {"src": s, "tgt": "t"}) for s in ("a<b", "a>b", "A < b.", "C++", "C", "c!", "5 $", "5")]
+    assert {(r.first_id, r.copy_id) for r in collapse.copies(lines(spark, raws)).collect()} == {(0, 2), (4, 5)}
+
+
 @pytest.mark.parametrize("value,want", [(1, 1.0), ("1e2", 100.0), (" 5 ", 5.0), ("1_0", None), ("inf", None), (math.nan, None), (True, None), (None, None), ([], None), (10**400, None)])
 def test_number(value, want):
     assert collapse.number(value) == want
