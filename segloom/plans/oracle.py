@@ -89,6 +89,57 @@ def _candidates(count: int) -> str:
     return f"{_HEAD} " + " union all ".join(each)
 
 
+def _values(rows: list[tuple], columns: str) -> str:
+    text = lambda x: "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x)
+    return f"select * from (values {', '.join('(' + ', '.join(map(text, r)) + ')' for r in rows)}) t({columns})"
+
+
+def _edges() -> dict[str, str]:
+    """What surrounds scoring."""
+    inputs = ["src_lang", "src", "tgt", "tgt_lang"]
+    states = []
+    for name, method in (("DA", None), ("MR7", None), ("MR7MEAN", "mean"), ("MR7RRWA", "RRWA")):
+        config = f'{{"method": "{method}", "num_samples": 4, "sampling_temperature": 0.5}}' if method else "{}"
+        states += [(name, "architecture", f'"{name}"'), (name, "config", config), (name, "demos", '[{"src": "ä"}]'), (name, "input_fields", "[" + ", ".join(f'"{c}"' for c in sorted(inputs)) + "]")]
+    messages = [
+        ("k of pairs", "k_per_source must be >= 1"),
+        ("limit", "max_examples must not be negative"),
+        ("aggregation", "Unknown aggregation method: median"),
+        ("architecture", "Unknown architecture: ESA. Available architectures: DA, DATERM, MR7, MR7MEAN, MR7RRWA, MR8"),
+        ("objective", "Unknown objective: RMSE"),
+        ("training objective", "Unknown objective: RMSE"),
+        ("required fields", "Missing required fields: score, src"),
+        ("file without scores", "Missing required fields: score"),
+        ("file with a wrong score", "Invalid score value: 'not-a-number'"),
+        ("samples", "num_samples must be >= 1"),
+        ("option", "not valid JSON"),
+    ]
+    roles = [("example input", i, c) for i, c in enumerate(("src_lang", "tgt_lang", "src", "tgt"))] + [("example label", 0, "score")]
+    roles += [("pair input", i, c) for i, c in enumerate(("src_lang", "tgt_lang", "src", "tgt1", "tgt2"))] + [("pair label", 0, "tgt1_score"), ("pair label", 1, "tgt2_score")]
+    settings = [("MIPROv2", *x) for x in (("num_candidates", "6"), ("per_program", "2"), ("trials", "9"), ("seed", "7"), ("instructions", "0"), ("unknown", "x"))]
+    settings += [("SIMBA", *x) for x in (("num_candidates", "8"), ("per_program", "4"), ("batch", "32"), ("steps", "3"), ("seed", "5"), ("instructions", "0"))]
+    number = _hash("'fail'", "src", "tgt") + " % 10"
+    mean = " + ".join(_score("s", f"'{i}'") for i in range(10) if i % 3)
+    three = " + ".join(_score("s", f"'{i}'") for i in range(3))
+    ends = f"{_HEAD}, {_k_pairs(3)}"
+    return {
+        "scan_compressed": "select codec, seg_id, src_lang, tgt_lang, src, tgt from segments, (values ('gzip'), ('bzip2')) c(codec)",
+        "sink_order": "select count(*) as n_lines, 0::bigint as n_late, 0::bigint as n_overlaps from segments",
+        "scan_stdin": "select 'ok' as kind, lang_code as src_lang, alpha3 as tgt_lang, lang_name as src, null::varchar as tgt from lang_names",
+        "rejected_lines": f"with {_LINES} select case when kind <> 'ok' then kind when score is null then 'invalid score' else 'missing field' end as reason, count(*) as n from parsed where raw is not null and kind <> 'blank' and not coalesce(kind = 'ok' and score is not null and src_lang is not null and tgt_lang is not null and src is not null and tgt is not null, false) group by 1",
+        "program_state": _values(states, "program, setting, value"),
+        "score_configured": f"{_HEAD} select seg_id, (({three}) // 3)::int as score from seg",
+        "score_failures": f"{_HEAD} select seg_id, case when {number} in (0, 2) then 0 else {_score('s')} end as score, case when {number} = 0 then 'ValueError' when {number} = 2 then 'timeout' end as error from seg",
+        "score_failed_samples": f"{_HEAD} select seg_id, (({mean}) // 10)::int as score from seg",
+        "score_cached": f"{_HEAD} select seg_id, {_score('s')} as score, null::varchar as error from seg",
+        "score_endpoint": f"{_HEAD} select seg_id, {_score('s')} as score, null::varchar as error, true as within_limit from seg",
+        "guards": _values(messages, "guard, message"),
+        "input_roles": _values(roles, "role, place, name"),
+        "search_settings": _values(settings, "search, setting, value"),
+        "training_sets": f"{ends} (select 'example' as kind, seg_id as id1, seg_id as id2 from seg order by md5('42|' || seg_id), seg_id limit 100) union all (select 'pair', id1, id2 from pairs order by md5('42|' || id1 || '|' || id2), id1, id2 limit 60)",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "eval_by_lang": f"{_HEAD} select tgt_lang, count(*) as n, round(avg(1.0::double - ((score - {_LENGTH}) / 100.0::double) * ((score - {_LENGTH}) / 100.0::double)), 6) as objective from seg group by tgt_lang",
@@ -126,6 +177,7 @@ def oracle_sql() -> dict[str, str]:
         "eval_by_candidate": _candidates(4),
         "search_mipro": _candidates(6),
     }
+    out |= _edges()
     samples = f"samples as (select seg_id, i, {_score('s', 'i::varchar')}::double as s from seg, range(10) r(i))"
     out["score_mr7mean"] = f"{_HEAD}, {samples} select seg_id, floor(avg(s))::int as score from samples group by seg_id"
     out["score_mr7rrwa"] = f"{_HEAD}, {samples} select seg_id, round_even(sum(s / rn) / sum(1.0::double / rn), 0)::int as score from (select *, row_number() over (partition by seg_id order by s desc) as rn from samples) group by seg_id"

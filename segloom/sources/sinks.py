@@ -11,10 +11,10 @@ def json_line(*cols: str) -> Column:
     return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"})
 
 
-def write_unordered(df: DataFrame, path: str, line_col: str | None = None) -> None:
-    """One object for each row, in whatever order tasks write them; compressed by the ending."""
+def write_unordered(df: DataFrame, path: str, line_col: str | None = None, codec: str | None = None) -> None:
+    """One object for each row, in whatever order tasks write them; `codec` compresses them."""
     lines = df.select((F.col(line_col) if line_col else json_line(*df.columns)).alias("value"))
-    lines.write.mode("overwrite").text(path)
+    (lines.write.option("compression", codec) if codec else lines.write).mode("overwrite").text(path)
 
 
 def write_ordered(df: DataFrame, path: str, order: list[str], line_col: str | None = None, one_file: bool = False) -> None:
