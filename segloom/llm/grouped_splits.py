@@ -199,15 +199,18 @@ def split_report(df: DataFrame, shares: list[tuple[str, float]], names: DataFram
 
 
 def split_check(df: DataFrame, shares: list[tuple[str, float]], names: DataFrame | None = None, tolerance: float = 0.02) -> DataFrame:
-    """One row of what must hold: all rows are in a split, groups that are in several splits, and
-    splits whose share of the rows is further off than the tolerance."""
+    """One row of what must hold: rows in a split, groups that are in several splits, and splits
+    whose share of the rows is further off than the tolerance, or than the largest group has:
+    a group isn't divided."""
     got = table(assign_splits(df, shares, names=names), "assigned")
     own = groups(df, names=names).select("seg_id", "group_key").join(got.select("seg_id", "split_name"), "seg_id")
-    torn = own.groupBy("group_key").agg(F.min("split_name").alias("a"), F.max("split_name").alias("b")).where("a != b")
+    each_group = table(own.groupBy("group_key").agg(F.min("split_name").alias("a"), F.max("split_name").alias("b"), F.count("*").alias("n")), "groups")
+    torn = each_group.where("a != b")
+    largest = each_group.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     asked = df.sparkSession.createDataFrame([(n, float(s)) for n, s in shares], "split_name string, split_share double")
     each = F.broadcast(asked).join(got.where("split_name is not null").groupBy("split_name").agg(F.count("*").alias("n")), "split_name", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # one row for each split
-    far = (F.abs(F.col("n") / total - F.col("split_share")) > tolerance).cast("bigint")
+    far = (F.abs(F.col("n") / total - F.col("split_share")) > F.greatest(F.lit(tolerance), F.lit(largest) / total)).cast("bigint")
     found = each.select("n", F.lit(0).cast("bigint").alias("torn"), far.alias("far"))
     found = found.unionByName(torn.select(F.lit(0).cast("bigint").alias("n"), F.lit(1).cast("bigint").alias("torn"), F.lit(0).cast("bigint").alias("far")))
     return found.agg(F.sum("n").alias("n_rows"), F.sum("torn").alias("n_torn_groups"), F.sum("far").alias("n_far_splits"))

@@ -32,6 +32,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_check": lambda s, d: grouped_splits.split_check(read(s, d, "segments"), _shares(s, d), names=read(s, d, "lang_names")),
         "p2_found": lambda s, d: truncation_model.cut_fields(read(s, d, "segments")),
         "p2_report": lambda s, d: truncation_model.cut_report(read(s, d, "segments")),
+        "p2_totals": lambda s, d: truncation_model.cut_report(read(s, d, "segments")).select("origin", "field_name", "n_texts"),
+        "p3_slices": lambda s, d: token_budget.token_budget(read(s, d, "segments"), names=read(s, d, "lang_names")).drop("n_tokens"),
         "p3_budget": lambda s, d: token_budget.token_budget(read(s, d, "segments"), names=read(s, d, "lang_names")),
         "p3_texts": lambda s, d: token_budget.text_tokens(read(s, d, "segments")),
         "p4_found": lambda s, d: mojibake.garbled_fields(read(s, d, "segments")),
@@ -43,6 +45,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_found": lambda s, d: overlap.split_overlaps(read(s, d, "split_examples")),
         "p7_rows": lambda s, d: overlap.overlap_rows(read(s, d, "split_examples")),
         "p7_report": lambda s, d: overlap.overlap_report(read(s, d, "split_examples")),
+        "p7_exact": lambda s, d: overlap.overlap_rows(read(s, d, "split_examples")).where("exact").select("ex_id"),
         "p8_ids": lambda s, d: corpus_encode.encode_corpus(read(s, d, "documents")),
         "p9_containers": lambda s, d: packing.fill_containers(read(s, d, "documents"), _capacities(s, d)),
         "p9_fill": lambda s, d: packing.fill_report(read(s, d, "documents"), _capacities(s, d)),

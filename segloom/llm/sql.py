@@ -4,6 +4,8 @@ The others are tokenizers, models, automata and code-point tables; their tests h
 against brute force, round trips or held-out accuracy.
 """
 
+import unicodedata
+
 _LUT = "lut as (select distinct lower(k) as k, lang_code as code from (select unnest([lang_code, alpha3, alpha3_b, lang_name]) as k, lang_code from lang_names))"
 #: Labels that name no language; others that aren't in the table equal themselves.
 _PLACEHOLDERS = "('', '?', '-', 'xx', 'n/a', 'na', 'none', 'null', 'unknown', 'und', 'undetermined', 'mis', 'mul', 'zxx', 'other')"
@@ -44,7 +46,38 @@ canon as (select *, row("""
 firsts as (select *, min(line_id) over (partition by c) as first_id, count(*) over (partition by c) as n_copies from canon)"""
 )
 
+_SEEN = r"not regexp_full_match({}, '[\s\x0b\x{{85}}\p{{Z}}]*')"
+_SIDES = " union all ".join(f"select origin, text_domain, {side}_lang as label, '{side}' as field_name, {side} as text from segments" for side in ("src", "tgt"))
+_CODED = f"case when regexp_full_match({_LABEL.replace('src_lang', 'label')}, '[a-z]{{2,3}}[-_][a-z0-9]{{2,8}}') then regexp_extract({_LABEL.replace('src_lang', 'label')}, '^([a-z]{{2,3}})', 1) else {_LABEL.replace('src_lang', 'label')} end"
+_NORMAL = r"regexp_replace(strip_accents(replace(lower({}), 'ß', 'ss')), '[\s\p{{P}}\p{{Z}}\p{{Cc}}\p{{Cf}}]', '', 'g')"
+
+
+def _look(text: str) -> str:
+    """Texts that look the same are equal: widths, spaces, unseen characters, letters of Latin,
+    Cyrillic and Greek that look alike, composed and decomposed accents, ligatures, dots."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    narrow = [chr(c) for c in range(0xFF61, 0xFFA0)]
+    # as they stand in an alphabet chart, one below the other
+    cyrillic, latin = "аеорсухіјѕԁһԛԝАВЕКМНОРСТХУІЈЅԚԜёїЁЇѐЀӑӐӓӒӗӖӧӦӱӰӯӮ", "aeopcyxijsdhqwABEKMHOPCTXYIJSQWëïËÏèÈăĂäÄĕĔöÖÿŸȳȲ"
+    greek, as_latin = "ονΑΒΕΖΗΙΚΜΝΟΡΤΥΧαιργυάίόύΆΈΊΌΎϊϋΪΫ", "ovABEZHIKMNOPTYXaipyuáíóúÁÉÍÓÝïüÏŸ"
+    left = wide + "".join(narrow) + cyrillic + greek + "‐‑"
+    right = "".join(map(chr, range(0x21, 0x7F))) + "".join(unicodedata.normalize("NFKC", c) for c in narrow) + latin + as_latin + "--"
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    out = f"regexp_replace(regexp_replace({text}, '[\\p{{Cf}}\\x{{34f}}\\x{{fe00}}-\\x{{fe0f}}]', '', 'g'), '\\p{{Zs}}', ' ', 'g')"
+    for one, many in (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("…", "...")):
+        out = f"replace({out}, '{one}', '{many}')"
+    return f"nfc_normalize(translate(nfc_normalize({out}), {quoted(left)}, {quoted(right)}))"
+
+
+_P10 = f"""with looks as (select doc_id, text, {_look('text')} as look from documents where text is not null),
+seen as (select * from looks where {_SEEN.format('look')})
+select a.doc_id as doc_id_a, b.doc_id as doc_id_b from seen a join seen b using (look) where a.doc_id < b.doc_id and a.text <> b.text"""
+
 SQL: dict[str, str] = {
+    "p2_totals": " union all ".join(f"select origin, '{f}' as field_name, count(*) as n_texts from segments where {_SEEN.format(f)} group by origin" for f in ("src", "tgt")),
+    "p3_slices": f"with {_LUT}, sides as ({_SIDES}) select origin, field_name, code as lang, text_domain, count(text) as n_texts from sides left join lut on k = {_CODED} group by all",
+    "p7_exact": f"with plain as (select ex_id, split_name = 'train' as is_train, {_NORMAL.format('src')} as s, {_NORMAL.format('tgt')} as t from split_examples where split_name is not null and {_SEEN.format('src')} and {_SEEN.format('tgt')}) select distinct e.ex_id from plain e join plain t on e.s = t.s and e.t = t.t where t.is_train and not e.is_train",
+    "p10_found": _P10,
     # what must hold of every assignment
     "p1_check": "select count(*) as n_rows, 0::bigint as n_torn_groups, 0::bigint as n_far_splits from segments",
     "p9_check": "select size_name, (select count(*) from documents where text <> '') as n_docs, 0::bigint as n_over, 0::bigint as n_split, 0::bigint as n_wrong from context_sizes",

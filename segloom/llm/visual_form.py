@@ -35,14 +35,15 @@ LOOK_ALIKES = {
     "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C", "Ϳ": "J", "Γ": "Г",
     "ɑ": "a", "ɡ": "g", "ӕ": "æ", "Ӕ": "Æ", "Ð": "Đ", "Ɖ": "Đ", "ԑ": "ɛ", "ε": "ɛ", "ӡ": "ʒ",
     "‐": "-", "‑": "-", "﹣": "-", "ʼ": "’", "՚": "’", "ꞌ": "'", "∶": ":", "։": ":", "꞉": ":", "ː": ":",
+    "օ": "o", "հ": "h", "յ": "j", "ս": "u", "ո": "n", "Օ": "O", "Տ": "S", "Լ": "L", "Ս": "U",
     "⁄": "/", "∕": "/", "․": ".", "‥": "..", "…": "...", "µ": "μ", "Ω": "Ω", "℃": "°C", "℉": "°F", "ſ": "s",
 }
 #: Kinds of compatibility decompositions that keep the look; others (superscripts, circles,
 #: fractions, squares) look different and stay.
 SAME_LOOK = ("<wide>", "<narrow>", "<font>", "<noBreak>", "<isolated>", "<final>", "<initial>", "<medial>")
 #: Ranges of code points that are compatibility spellings of a look they share:
-#: Latin ligatures and digraphs, Armenian ligatures, other widths of spaces.
-LIGATURES = ((0xFB00, 0xFB06), (0xFB13, 0xFB17), (0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x2000, 0x200A), (0x205F, 0x205F))
+#: Latin ligatures and digraphs, Armenian ligatures, Roman numerals, other widths of spaces.
+LIGATURES = ((0x2160, 0x217F), (0xFB00, 0xFB06), (0xFB13, 0xFB17), (0x0132, 0x0133), (0x01C4, 0x01CC), (0x01F1, 0x01F3), (0x2000, 0x200A), (0x205F, 0x205F))
 #: Format characters that do show or join (Arabic and other number signs).
 VISIBLE_FORMAT = ((0x0600, 0x0605), (0x06DD, 0x06DD), (0x070F, 0x070F), (0x08E2, 0x08E2), (0x110BD, 0x110CD))
 #: Characters without a look besides those of category Cf.
@@ -50,7 +51,7 @@ UNSEEN = ((0x034F, 0x034F), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F)
 
 
 #: Scripts whose letters are told apart, by the first word of a letter's name.
-SCRIPTS = ("LATIN", "CYRILLIC", "GREEK")
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "ARMENIAN")
 
 
 def _within(c: int, ranges) -> bool:
