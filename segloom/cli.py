@@ -48,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--sampling-params", type=json_option, default={})
     p.add_argument("--no-ssl-verify", action="store_true")
     p.add_argument("--http-timeout", type=float, default=6000.0)
+    p.add_argument("--progress", action=argparse.BooleanOptionalAction, default=True, help="show the progress of stages on standard error")
     sub = p.add_subparsers(dest="command", required=True)
     t = sub.add_parser("train-da")
     t.add_argument("--training-data", required=True)
@@ -207,11 +208,11 @@ def main(argv: list[str] | None = None) -> int:
     from segloom.util import session
 
     args = parser().parse_args(argv)
-    conf = {}
+    conf = {"spark__ui__showConsoleProgress": str(args.progress).lower()}
     if args.api_key:
         # before the session starts: workers read it from their environment; it isn't shown
         os.environ["SEGLOOM_API_KEY"] = args.api_key
-        conf = {"spark__executorEnv__SEGLOOM_API_KEY": args.api_key, "spark__redaction__regex": "(?i)secret|password|token|access[.]?key|api[._]?key"}
+        conf |= {"spark__executorEnv__SEGLOOM_API_KEY": args.api_key, "spark__redaction__regex": "(?i)secret|password|token|access[.]?key|api[._]?key"}
     spark = session(**conf)
     spark.sparkContext.setLogLevel("ERROR")
     # data alone goes to standard output; what libraries print doesn't mix with it
