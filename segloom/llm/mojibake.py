@@ -137,7 +137,7 @@ def tokens(text: str) -> set[tuple[str, str]]:
         if len(word) <= LONGEST:
             out.add(("w", word))
         for run in RUN.findall(word):
-            if len(run) <= LONGEST:
+            if len(run) <= LONGEST and run != word:  # a whole word is known as such
                 out.add(("r", run))
             if len(run) >= 6 and SIGN.search(run):
                 out.update(("g", run[i : i + n]) for n in (2, 3) for i in range(len(run) - n + 1))
