@@ -263,6 +263,36 @@ def test_pairs_without_a_common_passage(spark):
     assert {(r.ex_id_a, r.ex_id_b) for r in overlap.split_overlaps(df).collect()} == {(2 * k, 2 * k + 1) for k in range(4)}
 
 
+def test_regular_differences(spark):
+    """A difference at every sixth character, or one there and one three characters on: no window
+    of some length stays whole, and yet five sixths agree."""
+    rng = random.Random(9)
+    rows = []
+    for n in (42, 60, 150, 300, 600, 900):
+        e = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n)) for _ in range(2)]
+        exchanged = [edited(x, range(5, n, 6)) for x in e]
+        moved = ["".join(("" if i % 6 == 2 else c) + "9" * (i % 6 == 5) for i, c in enumerate(x)) for x in e]
+        for t in (exchanged, moved):
+            assert all(overlap.agreement(x, y) >= 5 / 6 for x, y in zip(e, t))
+            rows.append((len(rows), "train", *t, "o"))
+        rows.append((len(rows), "validation", *e, "o"))
+    df = spark.createDataFrame(rows, "ex_id bigint, split_name string, src string, tgt string, origin string")
+    assert {(r.ex_id_a, r.ex_id_b) for r in overlap.split_overlaps(df).collect()} == {(k, k - k % 3 + 2) for k in range(len(rows)) if k % 3 < 2}
+
+
+def test_boxes_and_tiles_lose_no_pair():
+    """What bounds on boxes and tiles leave are the pairs that bounds on each pair leave."""
+    rng = random.Random(12)
+    some = lambda k, n: "".join(rng.choices("abcdefgh"[:k], k=n))
+    records = [(b"e", some(rng.choice([2, 3, 8]), rng.randint(1, 30)), some(3, rng.randint(1, 600 if k % 40 == 0 else 20))) for k in range(400)]
+    trains = [r[1:] if rng.random() < 0.4 else (some(3, rng.randint(1, 30)), some(3, rng.randint(1, 20))) for r in records]
+    shard = overlap.Shard(records, 5 / 6)
+    every = np.divmod(np.arange(len(trains) * len(records)), len(records))
+    want = shard.partners(trains, every)
+    assert sorted(shard.partners(trains)) == sorted(want) and len(want) > 100
+    assert overlap.Shard([], 5 / 6).partners(trains) == shard.partners([]) == []
+
+
 def test_recall_against_brute_force(spark):
     """Differences at random places, up to a full sixth, in both fields, at four lengths."""
     rng, rows, want = random.Random(8), [], set()
